@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
+from tidegauge.llm.texts import text_parts
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Words and fragments that one Python worker remembers; then it starts anew.
 CACHE_ENTRIES = 300_000
@@ -160,13 +162,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def text_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of a few rows, which bound what a task holds."""
-    for batch in batches:
-        for s in range(0, batch.num_rows, rows):
-            yield batch.slice(s, rows)
-
-
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` by the same encoder, without moving the ids."""
 
