@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.llm.bpe import op10_bpe
+from tidegauge.llm.decontaminate import OP3_SQL, op3_decontaminate
+from tidegauge.llm.importance import op7_importance
+from tidegauge.llm.language import op6_language
+from tidegauge.llm.line_dedup import OP9_SQL, op9_line_dedup
+from tidegauge.llm.quality_rules import op8_quality_rules
 from tidegauge.llm.simhash import op1_simhash
+from tidegauge.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_url_filter": op5_url_filter,
+    "op6_language": op6_language,
+    "op7_importance": op7_importance,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+    "op5_url_filter": OP5_SQL,
+    "op9_line_dedup": OP9_SQL,
+}
