@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.scratch import Scratch
 from tidegauge.llm.texts import hash_sample, text_parts, word_hashes
 
-BUCKETS = 16_384
+BUCKETS = 1 << 17
 #: Labelled rows that the target model is fitted on at most; beyond that, a sample by hash.
 MAX_LABELLED = 20_000
 SEED = 42
@@ -33,8 +33,8 @@ def ngram_totals(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for part in text_parts(batches):
-            for text in part.column("text").to_pylist():
-                total += np.bincount(ngram_buckets(text or b"", buckets), minlength=buckets)
+            found = [ngram_buckets(text or b"", buckets) for text in part.column("text").to_pylist()]
+            total += np.bincount(np.concatenate(found), minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 

@@ -20,7 +20,7 @@ BUCKETS = 4096
 PER_LANGUAGE = 500
 CENTROIDS = 4
 #: A text is rejected if its similarity is below this part of what the least similar hundredth of its centroid's texts have.
-REJECT = 0.5
+REJECT = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
 
 

@@ -13,11 +13,15 @@ from tidegauge.llm.language import op6_language
 from tidegauge.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tidegauge.llm.quality_rules import op8_quality_rules
 from tidegauge.llm.simhash import op1_simhash
+from tidegauge.llm.substrings import op4_substrings
+from tidegauge.llm.token_store import op2_token_store
 from tidegauge.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_store": op2_token_store,
     "op3_decontaminate": op3_decontaminate,
+    "op4_substrings": op4_substrings,
     "op5_url_filter": op5_url_filter,
     "op6_language": op6_language,
     "op7_importance": op7_importance,
