@@ -58,6 +58,14 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in kept], "n_lines", "n_removed")
 
 
+def shortened(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated lines taken out; ``n_chars``, if there is one, follows the text."""
+    out = dedup_lines(docs, width)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text without repeated lines, and how many it had and lost."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
