@@ -111,14 +111,14 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     classes = runs.groupBy(*context).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     anchors = classes.groupBy("h").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.max("high").alias("top")).where("least < top")
     shared = classes.join(anchors, "h").select(*context, "low", "high", (F.col("least") < F.col("most")).alias("mixed")).where("mixed or low < high")
-    seeds = runs.join(shared, context).where("doc_id > low or mixed")
+    seeds = runs.join(shared.hint("merge"), context).where("doc_id > low or mixed")
     seeds = scratch.save(seeds.select("doc_id", "body", "start", "n", (F.col("doc_id") > F.col("low")).alias("repeat")), "seeds")
     scratch.drop("runs")
     ends = scratch.save(_by_text(seeds.where("not repeat")), "ends")
-    windows = texts.join(ends, ["doc_id", "body"]).select("doc_id", "body", "text", "spans").mapInArrow(_find_windows(length), _WINDOW)
+    windows = texts.join(ends.hint("merge"), ["doc_id", "body"]).select("doc_id", "body", "text", "spans").mapInArrow(_find_windows(length), _WINDOW)
     windows = scratch.save(windows, "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    later = windows.join(first, ["w1", "w2"]).where("doc_id > low").select("doc_id", "body", "start", F.lit(1).alias("n"))
+    later = windows.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > low").select("doc_id", "body", "start", F.lit(1).alias("n"))
     return scratch.save(_by_text(seeds.where("repeat").select("doc_id", "body", "start", "n").unionByName(later)), "repeats")
 
 
@@ -154,7 +154,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text of any length is one value in one task; a passage may repeat any number of times.
     """
     found = repeats(docs, Scratch(docs.sparkSession, "substrings"), length)
-    joined = _texts(docs).join(found, ["doc_id", "body"], "left").select("doc_id", "text", "spans")
+    joined = _texts(docs).join(found.hint("merge"), ["doc_id", "body"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first int, after int>>")
 
 

@@ -188,7 +188,7 @@ def read_store(spark: SparkSession, path: str, step: int = 2) -> DataFrame:
     whole = placed.where(~missing).select(*head, numbered.alias("chunks"))
     parts = placed.where(missing).select("rid", *head, F.inline(numbered))
     source = rows.select(F.inline(F.filter("chunks", lambda c: c["shared"] & c["ids"].isNotNull()))).select("hash", F.col("ids").alias("found"))
-    fetched = parts.where("ids is null").drop("ids").join(source, "hash").withColumnRenamed("found", "ids")
+    fetched = parts.where("ids is null").drop("ids").join(source.hint("merge"), "hash").withColumnRenamed("found", "ids")
     both = parts.where("ids is not null").unionByName(fetched)
     joined = both.groupBy("rid", *head).agg(F.collect_list(F.struct("pos", "hash", "ids")).alias("chunks")).drop("rid")
     return whole.unionByName(joined).mapInArrow(_rebuild(step), "doc_id long, start long, n_tokens long, ids binary")
