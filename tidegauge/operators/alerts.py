@@ -54,7 +54,7 @@ def cooled_down(gaps: DataFrame, by: list[str], step: int, cooldown: int) -> Dat
     no state is carried from row to row.
     """
     every = max(1, -(-cooldown // step))
-    outage = gaps.withColumn("outage", F.col("t") - step * F.row_number().over(Window.partitionBy(*by).orderBy("t")))
+    outage = gaps.withColumn("outage", F.col("t") - F.lit(step).cast("long") * F.row_number().over(Window.partitionBy(*by).orderBy("t")))
     k = F.row_number().over(Window.partitionBy(*by, "outage").orderBy("t")) - 1
     return outage.withColumn("k", k).where(F.col("k") % every == 0).select(*by, "t")
 
