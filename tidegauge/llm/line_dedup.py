@@ -30,7 +30,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, width: int = WINDOW) -> Da
     windows = scratch.save(_windows(docs.where("doc_id is not null and text is not null"), width), "windows")
     place = F.struct("doc_id", "at", "body")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where(place > F.col("first"))
+    later = windows.join(first.hint("merge"), ["h1", "h2"]).where(place > F.col("first"))
     return later.groupBy("doc_id", "body").agg(F.collect_set("at").alias("starts"))
 
 
@@ -46,7 +46,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     are replaced; any others stay. A text of any length is one value in one task; a window may occur any number of times.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    found = scratch.save(repeated_lines(docs, scratch, width), "found").select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), "starts")
+    found = scratch.save(repeated_lines(docs, scratch, width), "found").select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), "starts").hint("merge")
     kept = docs.drop("n_lines", "n_removed").columns
     joined = docs.select(*kept).join(found, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_body")), "left")
     lines, n = F.split("text", "\n"), F.size(F.split("text", "\n"))
