@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -25,8 +26,10 @@ from tidegauge.llm.texts import text_parts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words and fragments that one Python worker remembers; then it starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 _WORDS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: A run of Latin letters with the marks after it, which the pre-tokenizer cuts between the two.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]+)?")
 #: White space, or taken for it somewhere, beyond the six that cut words: such a text is cut by the pre-tokenizer's pattern alone.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　]")
 
@@ -102,37 +105,64 @@ class BoundaryEncoder(WordEncoder):
         for content, ids in self.added.items():
             self.tokens[int(np.frombuffer(ids, "<u4")[0])] = content.encode()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pieces: dict[str, bytes] = {}
         self.fragments: dict[str, bytes] = {}
         self.show = {b: c for b, c in enumerate(byte_chars())}
         # The merges alone, without a pre-tokenizer: fragments are not cut again.
         alone = spec | {"pre_tokenizer": None, "added_tokens": [], "normalizer": None, "decoder": None, "post_processor": None}
         self.merges = Tokenizer.from_str(json.dumps(alone))
-
-    def cut(self, piece: bytes) -> list[str]:
-        """The fragments of one pre-token, in the vocabulary's characters."""
-        shown = piece.decode("latin-1").translate(self.show)
-        a = np.frombuffer(piece, np.uint8)
-        ends = np.flatnonzero(~self.inside[a[:-1], a[1:]]) + 1
-        if not len(ends):
-            return [shown]
-        edges = [0, *ends.tolist(), len(piece)]
-        return [shown[s:e] for s, e in zip(edges, edges[1:], strict=False)]
+        size = max(self.tokens) + 1
+        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
+
+    def cut(self, pieces: list[str]) -> list[list[str]]:
+        """The fragments of each pre-token, in the vocabulary's characters: all are cut at once."""
+        raw = [p.encode() for p in pieces]
+        whole = b"".join(raw)
+        a, ends = np.frombuffer(whole, np.uint8), np.cumsum([len(x) for x in raw])
+        cuts = np.append(~self.inside[a[:-1], a[1:]], True)
+        cuts[ends - 1] = True
+        edges = np.flatnonzero(cuts) + 1
+        shown, places = whole.decode("latin-1").translate(self.show), edges.tolist()
+        fragments = [shown[s:e] for s, e in zip([0, *places], places, strict=False)]
+        until = np.searchsorted(edges, ends, side="right").tolist()
+        return [fragments[s:e] for s, e in zip([0, *until], until, strict=False)]
+
+    def split(self, word: str) -> tuple[str, ...] | list[str]:
+        """The pre-tokens of a word."""
+        if plain := _PLAIN.fullmatch(word):
+            return plain.groups() if plain[2] else (word,)
+        return self.pattern.findall(word)
 
     def encode_new(self, words: list[str]) -> list[bytes]:
-        cuts = [[f for piece in self.pattern.findall(w) for f in self.cut(piece.encode())] for w in words]
-        new: set[str] = set()
-        for fragments in cuts:
-            new.update(fragments)
-        if len(self.fragments) + len(new) > CACHE_ENTRIES:
-            self.fragments = {}
-        order = list(new - self.fragments.keys())
-        self.fragments.update(zip(order, (ids_bytes(e.ids) for e in self.merges.encode_batch(order, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.fragments.__getitem__, fragments)) for fragments in cuts]
+        split = [self.split(w) for w in words]
+        wanted: set[str] = set()
+        for pieces in split:
+            wanted.update(pieces)
+        if len(self.pieces) + len(wanted) > CACHE_ENTRIES:
+            self.pieces = {}
+        new = list(wanted - self.pieces.keys())
+        if new:
+            cuts = self.cut(new)
+            order: set[str] = set()
+            for fragments in cuts:
+                order.update(fragments)
+            if len(self.fragments) + len(order) > CACHE_ENTRIES:
+                self.fragments = {}
+            fresh = list(order - self.fragments.keys())
+            self.fragments.update(zip(fresh, (ids_bytes(e.ids) for e in self.merges.encode_batch(fresh, add_special_tokens=False)), strict=True))
+            self.pieces.update(zip(new, (b"".join(map(self.fragments.__getitem__, fragments)) for fragments in cuts), strict=True))
+        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: bytes) -> bytes:
         """The text of the ids as UTF-8; bytes that are none become U+FFFD."""
-        out = b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return out.decode("utf-8", "replace").encode()
+        i = np.frombuffer(ids, "<u4")
+        if not len(i):
+            return b""
+        n = self.lengths[i]
+        place = np.repeat(self.starts[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.bytes[place].tobytes().decode("utf-8", "replace").encode()
 
 
 _encoders: dict[tuple[type, str], WordEncoder] = {}
@@ -141,6 +171,7 @@ _encoders: dict[tuple[type, str], WordEncoder] = {}
 def encoder(kind: type, path: str) -> WordEncoder:
     """One per Python worker, with what it remembers."""
     if (kind, path) not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads would only wait for each other
         _encoders[kind, path] = kind(path)
     return _encoders[kind, path]
 
