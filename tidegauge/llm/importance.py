@@ -13,6 +13,8 @@ from tidegauge.llm.scratch import Scratch
 from tidegauge.llm.texts import hash_sample, text_parts, word_hashes
 
 BUCKETS = 1 << 17
+#: The part of the labelled good documents whose ratio the number of kept documents is set to reach.
+SPARED = 0.98
 #: Labelled rows that the target model is fitted on at most; beyond that, a sample by hash.
 MAX_LABELLED = 20_000
 SEED = 42
@@ -44,11 +46,17 @@ def ngram_totals(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket; the target model is smoothed by the raw one."""
-    p_raw = (raw + smoothing) / (raw.sum() + smoothing * len(raw))
-    weight = max(1.0, target.sum() ** 0.5) * 10
-    return np.log((target + weight * p_raw) / (target.sum() + weight)) - np.log(p_raw)
+def log_ratios(target: np.ndarray, raw: np.ndarray, pseudo: float = 4.0, least_z: float = 3.0) -> np.ndarray:
+    """log(p_target / p_raw) of each bucket, both models smoothed by ``pseudo`` counts on the target's scale.
+
+    A ratio shrinks by the part of it that chance explains: to 0 where the target's count is within ``least_z`` standard
+    deviations of what the raw model expects. So n-grams that are too rare to tell say nothing, and good documents that
+    the target model hasn't seen score like those that it was fitted on.
+    """
+    share = target.sum() / max(1, raw.sum())
+    expected = share * raw
+    z = np.abs(target - expected) / np.sqrt(expected * (1 - share) + 1e-9)
+    return np.log((target + pseudo) / (expected + pseudo)) * np.maximum(0.0, 1 - (least_z / np.maximum(z, 1e-9)) ** 2)
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
@@ -79,14 +87,14 @@ def _order_bits(column: str):
     return of(F.col(column))
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = SEED, most: int = MAX_LABELLED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed: int = SEED, most: int = MAX_LABELLED, spared: float = SPARED) -> DataFrame:
     """``(doc_id, log_ratio, gumbel_key, kept)`` of each row of ``docs (doc_id, text, ...)``.
 
     The target model counts the n-grams of the documents that ``labels (doc_id, quality, toxic)`` calls good and not
     toxic; the raw model those of all documents. A document's log_ratio is the sum over its n-grams; its key adds Gumbel
     noise from the hash of (doc_id, seed). The ``keep`` share with the largest keys is kept, which draws without
-    replacement in proportion to the ratios; without ``keep``, the share of good ones among the labels. Ties with the
-    last key are kept too.
+    replacement in proportion to the ratios; without ``keep``, as many as have at least the ratio that a part ``spared``
+    of the labelled good documents reach. Ties with the last key are kept too.
 
     A null text counts as empty: log_ratio 0. Null and repeated doc_ids get a row for a row. Without labels all ratios
     are 0; an empty table gives an empty one; other columns are ignored. A text of any length is read whole.
@@ -94,8 +102,6 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed
     scratch = Scratch(docs.sparkSession, "importance")
     known = hash_sample(labels.where("doc_id is not null"), "doc_id", most)
     good = known.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
-    n_known, n_good = known.count(), good.count()
-    keep = n_good / n_known if keep is None and n_known else 1.0 if keep is None else keep
     raw = ngram_totals(docs)
     target = ngram_totals(docs.join(F.broadcast(good), "doc_id", "left_semi"))  # most is the bound
     ratios = log_ratios(target, raw) if target.any() else np.zeros(BUCKETS)
@@ -109,6 +115,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = scratch.save(scored.withColumn("gumbel_key", F.col("log_ratio") - F.log(-F.log(unit))), "scored")
     n = scored.count()
+    if keep is None:
+        cut = scored.join(F.broadcast(good), "doc_id").agg(F.percentile("log_ratio", 1 - spared)).first()[0]  # most is the bound
+        keep = scored.where(F.col("log_ratio") >= cut).count() / n if cut is not None else 1.0
     last = kth_largest(scored, "gumbel_key", max(1, round(keep * n))) if n else None
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(last if last is not None else 0.0))
 
