@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,15 @@ def test_importance(spark, docs, labels):
     assert importance.resample(docs.where("false"), labels).count() == 0 and importance.resample(docs, labels.where("false")).count() == len(ROWS)
 
 
+def test_ratios_of_chance():
+    raw = np.array([2, 1000, 1000, 1000, 0])
+    target = np.array([1, 300, 0, 500, 0])
+    got = importance.log_ratios(target, raw)
+    assert got[0] == got[1] == got[4] == 0  # too rare, as expected, never seen
+    assert got[2] < -3 and 0 < got[3] < np.log(500 / 267)
+    assert not importance.log_ratios(np.zeros(5, int), raw).any() and not importance.log_ratios(raw, raw).any()
+
+
 def test_quality_rules(spark, docs, labels):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
     assert got[4].n_words == 30_000 and got[4].n_repeat_words == 0 and got[2].n_words == 0 and got[2].base_failed and not got[2].kept
