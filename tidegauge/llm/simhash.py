@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.scratch import Scratch
+from tidegauge.llm.similar import similar_groups
+from tidegauge.llm.texts import shingle_bounds
 
 ALL = (1 << 64) - 1
 #: Rows of one bucket that are compared with each other; a larger bucket is cut by further bits instead.
@@ -36,13 +38,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingle_bounds(words: list[bytes], width: int) -> tuple[list[int], list[int]]:
-    """Starts and ends, in the words joined by one space, of each run of ``width`` words, or of all if there are fewer."""
-    ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-    count = max(1, len(words) - width + 1)
-    return np.concatenate([[0], ends[: count - 1]]).tolist(), (ends[min(width, len(words)) - 1 :] - 1).tolist()
-
-
 def fingerprint(text: bytes | None, width: int) -> int:
     """The 64-bit SimHash of a text's word shingles; 0 for a text without words, and for null."""
     words = text.lower().split() if text else []
@@ -281,39 +276,10 @@ def fingerprint_links(fps: DataFrame, scratch: Scratch, tau: int = 3, bucket_row
     return out.distinct()
 
 
-def _jaccard(width: int):
-    @F.pandas_udf("double")
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        def shingles(text: bytes) -> set[bytes]:
-            words = text.lower().split()
-            joined = b" ".join(words)
-            return {joined[s:e] for s, e in zip(*shingle_bounds(words, width), strict=True)} if words else set()
-
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, t = shingles(x or b""), shingles(y or b"")
-            out.append(len(s & t) / max(1, len(s | t)))
-        return pd.Series(out, dtype="float64")
-
-    return of
-
-
-def similar_links(links: DataFrame, first: DataFrame, docs: DataFrame, scratch: Scratch, width: int, min_jaccard: float) -> DataFrame:
-    """The links whose fingerprints' first documents share at least ``min_jaccard`` of their shingles."""
-    links = scratch.save(links, "candidates")
-    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    wanted = first.where("doc_id is not null").join(ends, "fp")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").groupBy("fp").agg(F.max("text").alias("text"))
-    texts = scratch.save(texts, "linked_texts")
-    both = links.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
-    return scratch.save(both.where(_jaccard(width)("x", "y") >= min_jaccard).select("a", "b"), "verified")
-
-
-def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 3, min_jaccard: float | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row of ``docs (doc_id, text, ...)``.
 
-    component_id is the least doc_id that is reachable by links of at most ``tau`` differing bits; with
-    ``min_jaccard``, links between different fingerprints must also share that part of their shingles.
+    component_id is the least doc_id that is reachable by links of at most ``tau`` differing bits.
 
     Null texts, and texts without words, have fingerprint 0 and are linked like any other. Rows with a null doc_id get
     the least doc_id of their component, null if it has none. Repeated rows get a row each. An empty table gives an
@@ -324,21 +290,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 3, min_jaccard:
     own = scratch.save(fingerprints(docs, width), "own")
     first = scratch.save(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "first")
     links = fingerprint_links(first, scratch, tau, bucket_rows)
-    if min_jaccard is not None:
-        links = similar_links(links, first, docs, scratch, width, min_jaccard)
     member = connected_components(links, scratch)
     rooted = first.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     label = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return own.join(rooted.select("fp", "root").join(label, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, tau: int = 10, min_jaccard: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, min_jaccard: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the least doc_id.
 
-    Rows that repeat a kept doc_id go too. Rows without a doc_id can't be named by a decision and stay.
+    Groups are connected by all pairs that share ``min_jaccard`` of their shingles, found exactly, not by fingerprint:
+    SimHash differs in more bits than any small bound for a good part of the pairs at 0.8. Rows that repeat a kept
+    doc_id go too. Rows without a doc_id can't be named by a decision and stay.
     """
-    groups = near_duplicates(docs, width, tau, min_jaccard)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    scratch = Scratch(docs.sparkSession, "keep")
+    groups = scratch.save(similar_groups(docs, width, min_jaccard).select("doc_id", "root"), "groups")
+    first = groups.groupBy("root").agg(F.min("doc_id").alias("first"))
+    gone = groups.join(first, "root").where("doc_id <> first").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
