@@ -50,3 +50,17 @@ def test_groups_are_those_of_all_pairs(spark):
         assert [least[got[i]] for i in range(len(rows))] == want
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want))
     assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_pairs_far_apart_in_bits_are_found(spark):
+    rnd, rows = random.Random(3), []
+    while len(rows) < 20:  # pairs just above PART whose fingerprints differ in more than 10 bits
+        base = [f"v{rnd.random()}" for _ in range(104)]
+        other = base.copy()
+        other[30] = other[70] = "x"
+        a, b = " ".join(base), " ".join(other)
+        fa, fb = (simhash.fingerprint(t.encode(), WIDTH) for t in (a, b))
+        if (fa ^ fb).bit_count() > 10:
+            rows += [a, b]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(0, 20, 2))
