@@ -2,7 +2,7 @@
 
 import random
 
-from tidegauge.llm import simhash
+from tidegauge.llm import decontaminate, simhash
 from tidegauge.llm.similar import similar_groups
 
 WIDTH, PART = 5, 0.8
@@ -64,3 +64,13 @@ def test_pairs_far_apart_in_bits_are_found(spark):
             rows += [a, b]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(0, 20, 2))
+
+
+def test_clean_texts_under_a_shared_doc_id_stay(spark):
+    item, clean = "a b c d e f g h", ["k l m n o p q", "r s t u v w x"]
+    rows = [(None, f"{item} i"), (None, clean[0]), (1, f"{item} j"), (1, clean[1]), (1, clean[1]), (2, clean[1]), (None, clean[1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    tuples = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert tuples(decontaminate.without_leaks(docs, items)) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    assert tuples(simhash.keep_one(docs)) == sorted([(None, f"{item} i"), (None, clean[0]), (1, f"{item} j"), (1, clean[1]), (None, None)], key=str)

@@ -101,9 +101,11 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the documents that ``leaks`` finds."""
-    found = Scratch(docs.sparkSession, "leaked").save(leaks(docs, items, width, containment).select("doc_id").distinct(), "docs").withColumnRenamed("doc_id", "_hit")
-    return docs.join(_small(found, found.count()), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the rows whose text ``leaks`` finds; others that share its doc_id, or have none either, stay."""
+    scratch = Scratch(docs.sparkSession, "leaked")
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # a text is judged by itself, so its hash names it
+    found = scratch.save(leaks(texts, items, width, containment).select("doc_id").distinct(), "texts").withColumnRenamed("doc_id", "_hit")
+    return docs.join(_small(found, found.count()), F.xxhash64("text") == F.col("_hit"), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,15 +300,18 @@ def keep_one(docs: DataFrame, width: int = 5, min_jaccard: float = 0.8) -> DataF
     """``docs`` with one document of each near-duplicate group: that of the least doc_id.
 
     Groups are connected by all pairs that share ``min_jaccard`` of their shingles, found exactly, not by fingerprint:
-    SimHash differs in more bits than any small bound for a good part of the pairs at 0.8. Rows that repeat a kept
-    doc_id go too. Rows without a doc_id can't be named by a decision and stay.
+    SimHash differs in more bits than any small bound for a good part of the pairs at 0.8. A row is named by doc_id and
+    text, so a different text under a kept doc_id, or under none, stays unless its own group has a lesser row; rows
+    without a doc_id come last, and rows that repeat both go too.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    groups = scratch.save(similar_groups(docs, width, min_jaccard).select("doc_id", "root"), "groups")
-    first = groups.groupBy("root").agg(F.min("doc_id").alias("first"))
-    gone = groups.join(first, "root").where("doc_id <> first").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    groups = scratch.save(similar_groups(docs, width, min_jaccard), "groups")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
+    first = groups.groupBy("root").agg(F.min(name).alias("first"))
+    gone = groups.join(first, "root").where(~name.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body")).distinct()
+    named = docs.withColumn("_own", F.xxhash64("text"))
+    kept = named.join(gone, (F.col("_own") == F.col("_body")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
+    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
