@@ -1,4 +1,4 @@
-"""Sources and sinks: tables by name, delimited snapshots, pod logs, objects and heartbeats."""
+"""Sources and sinks: tables by name, delimited snapshots, pod logs and nested objects."""
 
 from __future__ import annotations
 
