@@ -1,9 +1,11 @@
-"""Byte-level BPE over whole texts: cached encoding by the library, and by forced boundaries.
+"""Byte-level BPE over whole texts, in fragments that are encoded alone and remembered.
 
 A byte-level vocabulary never joins some byte pairs: no token holds them next to each other. Between such a pair every
-encoding has a token boundary, so both sides can be encoded alone. ``BoundaryEncoder`` cuts there, encodes each
-different fragment once, and concatenates. Before ASCII white space the cut also is one of the pre-tokenizer's, so
-texts fall into words that need no look at their neighbours, and words are cached.
+encoding has a token boundary, so both sides can be encoded alone. A batch of texts is cut, all texts at once, at byte
+pairs between which the pre-tokenizer cuts whatever stands around them: before white space, and between ASCII letters,
+digits and marks. ``BoundaryEncoder`` cuts each new fragment further at its forced boundaries, encodes each different
+piece once, and concatenates; ``WordEncoder`` gives new fragments to the library as they are. The ids of fragments are
+remembered by a hash, and the bytes are compared at every use.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ import hashlib
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +27,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from tidegauge.llm.texts import text_parts
+from tidegauge.llm.texts import ByteWords, text_bytes, text_parts
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words and fragments that one Python worker remembers; then it starts anew.
-CACHE_ENTRIES = 600_000
-_WORDS = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+#: Fragments that one Python worker remembers; then it starts anew. Longer ones than so many bytes are not remembered.
+CACHE_ENTRIES, LONGEST = 2_000_000, 256
+#: Pieces of fragments that BoundaryEncoder remembers besides.
+PIECES = 400_000
 #: A run of Latin letters with the marks after it, which the pre-tokenizer cuts between the two.
 _PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]+)?")
-#: White space, or taken for it somewhere, beyond the six that cut words: such a text is cut by the pre-tokenizer's pattern alone.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　]")
+#: In UTF-8, white space, or taken for it somewhere, beyond the six that cut fragments: U+1C-1F, 85, A0, 1680, 180E, 2000-200B, 2028, 2029, 202F, 205F, 3000.
+_OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8b\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
 
 @cache
@@ -42,57 +48,160 @@ def byte_chars() -> str:
     return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
 
 
+@cache
+def certain_cuts() -> np.ndarray:
+    """For each two bytes, ``256 * first + second``, whether the pre-tokenizer cuts between them wherever they stand.
+
+    It does before the first of several white spaces, and between ASCII letters, digits and marks other than the
+    apostrophe, which may begin a contraction.
+    """
+    kind = np.zeros(256, np.int8)
+    kind[[*b" \t\n\r\x0b\x0c"]] = 1
+    for b in range(ord("!"), 127):
+        kind[b] = 2 if chr(b).isalpha() else 3 if chr(b).isdigit() else 4 if chr(b) != "'" else 0
+    a, b = kind[:, None], kind[None, :]
+    return (((b == 1) & (a != 1)) | ((a > 1) & (b > 1) & (a != b))).ravel()
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
+def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``first[i], first[i] + 1, ...``, ``n[i]`` of them, one run after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class _Memory:
+    """Numbers of the fragments seen so far by their hash, in a table with linear probing; their bytes and ids by number."""
+
+    BITS = 22
+
+    def __init__(self) -> None:
+        self.keys, self.number = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+        self.n, self.ids, self.bytes = 0, np.zeros(1 << 20, "<u4"), np.zeros(1 << 20, np.uint8)
+        self.first, self.at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)  # places in ids and bytes, with one past the last
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it is new."""
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        out = self.number[slot]
+        more = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(more):
+            slot[more] = (slot[more] + 1) & ((1 << self.BITS) - 1)
+            out[more] = self.number[slot[more]]
+            more = more[(out[more] >= 0) & (self.keys[slot[more]] != h[more])]
+        return out
+
+    def name(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Enters different hashes, none of which is in the table."""
+        slot, left = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            put = left[self.number[slot[left]] < 0]
+            self.keys[slot[put]], self.number[slot[put]] = h[put], number[put]
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
+
+    def add(self, raw: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Takes in fragments; returns their numbers."""
+        n, new = self.n, len(raw)
+        self.first = _room(self.first, n + new + 1)
+        self.at = _room(self.at, n + new + 1)
+        self.first[n + 1 : n + new + 1] = self.first[n] + np.cumsum(counts)
+        self.at[n + 1 : n + new + 1] = self.at[n] + np.cumsum([len(x) for x in raw])
+        self.ids, self.bytes = _room(self.ids, self.first[n + new]), _room(self.bytes, self.at[n + new] + 8)
+        self.ids[self.first[n] : self.first[n + new]] = ids
+        self.bytes[self.at[n] : self.at[n + new]] = np.frombuffer(b"".join(raw), np.uint8)
+        self.n = n + new
+        return np.arange(n, n + new, dtype=np.int32)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(int(n), 2 * len(a)) - len(a), a.dtype)])
 
 
 class WordEncoder:
-    """Encodes texts as the library does with add_special_tokens=False; remembers the ids of words, not of texts."""
+    """Encodes texts as the library does with add_special_tokens=False; remembers the ids of fragments, not of texts."""
 
     def __init__(self, path: str):
-        self.path, self.words = path, {}
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.added = {t["content"]: ids_bytes([t["id"]]) for t in spec["added_tokens"]}
-        self.cut_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.setup(spec)
-
-    def setup(self, spec: dict) -> None:
-        self.library = Tokenizer.from_file(self.path)
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.odd = re.compile(b"|".join([_OTHER_SPACE.pattern, *(re.escape(t.encode()) for t in self.added)]))
+        self.lead = np.zeros(256, bool)  # bytes that what ``odd`` finds can begin with
+        self.lead[[*b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3", *(t.encode()[0] for t in self.added)]] = True
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.memory = _Memory()
+        self.setup(spec)
 
-    def encode_new(self, words: list[str]) -> list[bytes]:
-        return [ids_bytes(e.ids) for e in self.library.encode_batch(words, add_special_tokens=False)]
-
-    def _parts(self, text: str) -> list[str]:
-        if _OTHER_SPACE.search(text):
-            return [text]
-        return _WORDS.findall(text)
+    def setup(self, spec: dict) -> None:
+        pass
+
+    def encode_new(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all fragments, and how many each has."""
+        found = [e.ids for e in self.library.encode_batch_fast(fragments, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode_flat(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that end at ``ends`` in ``data``, one text after the other, and where each text's ids end.
+
+        Texts with an added token, or with rare white space, are encoded as a whole by the library's own rules.
+        """
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(ends), np.int64)
+        if self.memory.n > CACHE_ENTRIES or self.memory.at[self.memory.n] > 32 * CACHE_ENTRIES:
+            self.memory = _Memory()
+        cut = np.empty(len(data) + 1, bool)
+        cut[1:-1] = certain_cuts()[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        odd = [i for i in np.unique(np.searchsorted(ends, np.flatnonzero(self.lead[data]), side="right")).tolist() if self.odd.search(data[ends[i - 1] if i else 0 : ends[i]])]
+        for i in odd:
+            cut[ends[i - 1] if i else 0 : ends[i]] = False
+        cut[0] = cut[-1] = True
+        cut[ends] = True
+        edges = np.flatnonzero(cut)
+        start, n = edges[:-1], np.diff(edges)
+        words = ByteWords(data)
+        number = self.memory.find(h := words.hashes(start, n))
+        whole = n > LONGEST
+        whole[np.searchsorted(start, [ends[i - 1] if i else 0 for i in odd])] = True
+        number[whole] = -1
+        known = np.flatnonzero(number >= 0)
+        kept = number[known]
+        same = words.equal(start[known], n[known], ByteWords(self.memory.bytes, padded=True), self.memory.at[kept], self.memory.at[kept + 1] - self.memory.at[kept])
+        whole[known[~same]] = True  # two fragments of one hash
+        number[known[~same]] = -1
+        new = np.flatnonzero((number < 0) & ~whole)
+        if len(new):
+            _, one, back = np.unique(h[new], return_index=True, return_inverse=True)
+            first = new[one]
+            same = words.equal(start[new], n[new], words, start[first][back], n[first][back])
+            whole[new[~same]] = True
+            took = self._take(data, start[first], n[first])
+            self.memory.name(h[first], took)
+            number[new[same]] = took[back[same]]
+        rest = np.flatnonzero(number < 0)
+        if len(rest):
+            number[rest] = self._take(data, start[rest], n[rest])
+        first = self.memory.first[number]
+        n_ids = self.memory.first[number + 1] - first
+        until = np.concatenate([[0], np.cumsum(n_ids)])
+        return self.memory.ids[runs(first, n_ids)], until[np.searchsorted(edges, ends)]
+
+    def _take(self, data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        raw = [data[s:e].tobytes() for s, e in zip(start.tolist(), (start + n).tolist(), strict=True)]
+        return self.memory.add(raw, *self.encode_new([x.decode("utf-8", "replace") for x in raw]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[str]] = []
-        for text in texts:
-            if self.cut_added and self.cut_added.search(text):
-                cut.append([p for s in self.cut_added.split(text) if s for p in ([s] if s in self.added else self._parts(s))])
-            else:
-                cut.append(self._parts(text))
-        new: set[str] = set()
-        for parts in cut:
-            new.update(parts)
-        if len(self.words) + len(new) > CACHE_ENTRIES:
-            self.words = {}
-        new -= self.words.keys()
-        new -= self.added.keys()
-        order = list(new)
-        self.words.update(zip(order, self.encode_new(order), strict=True))
-        self.words |= self.added
-        return [b"".join(map(self.words.__getitem__, parts)) for parts in cut]
+        raw = [t.encode() for t in texts]
+        ids, ends = self.encode_flat(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw], dtype=np.int64))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
 
 
 class BoundaryEncoder(WordEncoder):
-    """Cuts words at byte pairs that no token holds, and encodes each fragment alone."""
+    """Cuts fragments at byte pairs that no token holds, and encodes each piece alone."""
 
     def setup(self, spec: dict) -> None:
         to_byte = {c: b for b, c in enumerate(byte_chars())}
@@ -102,13 +211,12 @@ class BoundaryEncoder(WordEncoder):
             a = np.frombuffer(token, np.uint8)
             inside[a[:-1], a[1:]] = True
         self.inside = inside
-        for content, ids in self.added.items():
-            self.tokens[int(np.frombuffer(ids, "<u4")[0])] = content.encode()
+        self.tokens |= {i: content.encode() for content, i in self.added.items()}
+        self.cut_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pieces: dict[str, bytes] = {}
-        self.fragments: dict[str, bytes] = {}
         self.show = {b: c for b, c in enumerate(byte_chars())}
-        # The merges alone, without a pre-tokenizer: fragments are not cut again.
+        # The merges alone, without a pre-tokenizer: pieces are not cut again.
         alone = spec | {"pre_tokenizer": None, "added_tokens": [], "normalizer": None, "decoder": None, "post_processor": None}
         self.merges = Tokenizer.from_str(json.dumps(alone))
         size = max(self.tokens) + 1
@@ -116,53 +224,45 @@ class BoundaryEncoder(WordEncoder):
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
 
-    def cut(self, pieces: list[str]) -> list[list[str]]:
-        """The fragments of each pre-token, in the vocabulary's characters: all are cut at once."""
-        raw = [p.encode() for p in pieces]
+    def cut(self, pretokens: list[str]) -> list[list[str]]:
+        """The pieces of each pre-token, in the vocabulary's characters: all are cut at once."""
+        raw = [p.encode() for p in pretokens]
         whole = b"".join(raw)
         a, ends = np.frombuffer(whole, np.uint8), np.cumsum([len(x) for x in raw])
         cuts = np.append(~self.inside[a[:-1], a[1:]], True)
         cuts[ends - 1] = True
         edges = np.flatnonzero(cuts) + 1
         shown, places = whole.decode("latin-1").translate(self.show), edges.tolist()
-        fragments = [shown[s:e] for s, e in zip([0, *places], places, strict=False)]
+        pieces = [shown[s:e] for s, e in zip([0, *places], places, strict=False)]
         until = np.searchsorted(edges, ends, side="right").tolist()
-        return [fragments[s:e] for s, e in zip([0, *until], until, strict=False)]
-
-    def split(self, word: str) -> tuple[str, ...] | list[str]:
-        """The pre-tokens of a word."""
-        if plain := _PLAIN.fullmatch(word):
-            return plain.groups() if plain[2] else (word,)
-        return self.pattern.findall(word)
-
-    def encode_new(self, words: list[str]) -> list[bytes]:
-        split = [self.split(w) for w in words]
-        wanted: set[str] = set()
-        for pieces in split:
-            wanted.update(pieces)
-        if len(self.pieces) + len(wanted) > CACHE_ENTRIES:
+        return [pieces[s:e] for s, e in zip([0, *until], until, strict=False)]
+
+    def split(self, fragment: str) -> tuple[str, ...] | list[str]:
+        """The pre-tokens of a fragment, and the added tokens in it."""
+        if plain := _PLAIN.fullmatch(fragment):
+            return plain.groups() if plain[2] else (fragment,)
+        if self.cut_added and self.cut_added.search(fragment):
+            return [p for s in self.cut_added.split(fragment) if s for p in ([s] if s in self.added else self.pattern.findall(s))]
+        return self.pattern.findall(fragment)
+
+    def encode_new(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [self.split(w) for w in fragments]
+        pretokens = {p: None for p in chain.from_iterable(split) if p not in self.added}
+        cuts = dict(zip(pretokens, self.cut(list(pretokens)) if pretokens else [], strict=True))
+        wanted = set(chain.from_iterable(cuts.values()))
+        if len(self.pieces) + len(wanted) > PIECES:
             self.pieces = {}
-        new = list(wanted - self.pieces.keys())
-        if new:
-            cuts = self.cut(new)
-            order: set[str] = set()
-            for fragments in cuts:
-                order.update(fragments)
-            if len(self.fragments) + len(order) > CACHE_ENTRIES:
-                self.fragments = {}
-            fresh = list(order - self.fragments.keys())
-            self.fragments.update(zip(fresh, (ids_bytes(e.ids) for e in self.merges.encode_batch(fresh, add_special_tokens=False)), strict=True))
-            self.pieces.update(zip(new, (b"".join(map(self.fragments.__getitem__, fragments)) for fragments in cuts), strict=True))
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
-
-    def decode(self, ids: bytes) -> bytes:
-        """The text of the ids as UTF-8; bytes that are none become U+FFFD."""
-        i = np.frombuffer(ids, "<u4")
-        if not len(i):
-            return b""
-        n = self.lengths[i]
-        place = np.repeat(self.starts[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.bytes[place].tobytes().decode("utf-8", "replace").encode()
+        fresh = list(wanted - self.pieces.keys())
+        self.pieces.update(zip(fresh, map(ids_bytes, (e.ids for e in self.merges.encode_batch_fast(fresh, add_special_tokens=False))), strict=True))
+        ids = {p: b"".join(map(self.pieces.__getitem__, found)) for p, found in cuts.items()} | {t: ids_bytes([i]) for t, i in self.added.items()}
+        found = [b"".join(map(ids.__getitem__, parts)) for parts in split]
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The text of each run of ids as UTF-8; bytes that are none become U+FFFD."""
+        n = self.lengths[ids]
+        raw, until = self.bytes[runs(self.starts[ids], n)].tobytes(), np.concatenate([[0], np.cumsum(n)])[ends].tolist()
+        return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip([0, *until], until, strict=False)]
 
 
 _encoders: dict[tuple[type, str], WordEncoder] = {}
@@ -176,6 +276,16 @@ def encoder(kind: type, path: str) -> WordEncoder:
     return _encoders[kind, path]
 
 
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes]]]:
+    """Each part with the ids and the decoded text of its rows."""
+    own = encoder(BoundaryEncoder, path)
+    for part in text_parts(batches):
+        ids, ends = own.encode_flat(*text_bytes(part.column("text")))
+        until = (4 * ends).tolist()
+        raw = ids.tobytes()
+        yield part, [raw[a:b] for a, b in zip([0, *until], until, strict=False)], own.decode_flat(ids, ends)
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids, decoded)`` of each row of ``docs (doc_id, text, ...)``, encoded by forced boundaries and decoded again.
 
@@ -185,10 +295,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(BoundaryEncoder, path)
-        for part in text_parts(batches):
-            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+        for part, ids, decoded in _coded(batches, path):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
@@ -197,11 +305,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` by the same encoder, without moving the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(BoundaryEncoder, path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for part in text_parts(batches):
-            ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(own.decode(x)) for x in ids), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part, ids, decoded in _coded(batches, path):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, decoded), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

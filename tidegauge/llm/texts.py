@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Odd multiplier of the rolling hashes.
 _BASE = 0x9E3779B97F4A7C15
+#: Of so many first bytes of eight the bits.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def text_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -21,6 +23,57 @@ def text_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[p
             yield batch.slice(s, rows)
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts one after the other, and where each ends; a null text is empty."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, np.int64 if wide else np.int32, len(column) + 1, column.offset * (8 if wide else 4)).astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[places[0] : places[-1]], places[1:] - places[0]
+
+
+class ByteWords:
+    """Hashes and comparisons of many short stretches of bytes at once, eight bytes a step."""
+
+    def __init__(self, data: np.ndarray, padded: bool = False):
+        data = data if padded else np.concatenate([data, np.zeros(8, np.uint8)])
+        self.eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+    def at(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The first eight bytes, or ``n`` if there are fewer, as a number."""
+        return self.eight[start] & _FIRST[np.minimum(n, 8)]
+
+    def hashes(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each stretch of ``n >= 1`` bytes."""
+        with np.errstate(over="ignore"):
+            h = _mixed(self.at(start, n) + n.astype(np.uint64) * np.uint64(_BASE))
+            more, k = np.flatnonzero(n > 8), 8
+            while len(more):
+                h[more] = _mixed(h[more] * np.uint64(0xD6E8FEB86659FD93) + self.at(start[more] + k, n[more] - k))
+                k += 8
+                more = more[n[more] > k]
+        return h
+
+    def equal(self, start: np.ndarray, n: np.ndarray, other: ByteWords, place: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Whether stretches are the same as those of ``m`` bytes at ``place`` in the other's data."""
+        out, k = n == m, 0
+        more = np.flatnonzero(out)
+        while len(more):
+            left = n[more] - k
+            same = self.at(start[more] + k, left) == other.at(place[more] + k, left)
+            out[more[~same]] = False
+            k += 8
+            more = more[same & (left > 8)]
+        return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
 def shingle_bounds(words: list[bytes], width: int) -> tuple[list[int], list[int]]:
     """Starts and ends, in the words joined by one space, of each run of ``width`` words, or of all if there are fewer."""
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
