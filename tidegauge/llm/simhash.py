@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.components import connected_components
 from tidegauge.llm.scratch import Scratch
 from tidegauge.llm.similar import similar_groups
-from tidegauge.llm.texts import shingle_bounds
+from tidegauge.llm.texts import apart, shingle_bounds
 
 ALL = (1 << 64) - 1
 #: Rows of one bucket that are compared with each other; a larger bucket is cut by further bits instead.
@@ -308,10 +308,14 @@ def keep_one(docs: DataFrame, width: int = 5, min_jaccard: float = 0.8) -> DataF
     groups = scratch.save(similar_groups(docs, width, min_jaccard), "groups")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
     first = groups.groupBy("root").agg(F.min(name).alias("first"))
-    gone = groups.join(first, "root").where(~name.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body")).distinct()
-    named = docs.withColumn("_own", F.xxhash64("text"))
-    kept = named.join(gone, (F.col("_own") == F.col("_body")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    rows = groups.groupBy("doc_id", "body", "root").agg(F.count(F.lit(1)).alias("n"))
+    told = rows.join(first, "root").select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), (~name.eqNullSafe(F.col("first"))).alias("_gone"), "n").where("_gone or n > 1").drop("n")
+    told = scratch.save(told, "told")
+    columns = docs.columns
+    mine = apart(docs)
+    marked = docs.withColumn(mine("own"), F.xxhash64("text")).join(told.select(*[F.col(c).alias(mine(c)) for c in told.columns]).hint("merge"), (F.col(mine("own")) == F.col(mine("_b"))) & F.col("doc_id").eqNullSafe(F.col(mine("_d"))), "left")
+    repeated = marked.where(~F.col(mine("_gone"))).dropDuplicates(["doc_id", mine("own")])
+    return marked.where(F.col(mine("_gone")).isNull()).unionByName(repeated).select(*columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

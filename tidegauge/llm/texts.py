@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +12,20 @@ from pyspark.sql import functions as F
 
 #: Odd multiplier of the rolling hashes.
 _BASE = 0x9E3779B97F4A7C15
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Of so many first bytes of eight the bits.
 _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def apart(docs: DataFrame) -> Callable[[str], str]:
+    """Gives an operator's own columns names that none of ``docs`` begins with."""
+    start = "_own"
+    while any(c.lower().startswith(start) for c in docs.columns):
+        start += "_"
+    return lambda name: f"{start}_{name}"
+
+
 def text_parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, which bound what a task holds."""
     for batch in batches:
@@ -68,6 +78,20 @@ class ByteWords:
         return out
 
 
+def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts that end at ``ends`` in ``data``, and where each text's words end; ``lower``: A-Z as a-z."""
+    if lower:
+        data = _LOWER[data]
+    space = np.concatenate([[True], _SPACE[data], [True]])
+    begins = space[:-1] & ~space[1:]  # at i, whether a word begins at byte i
+    stops = ~space[:-1] & space[1:]
+    joint = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(data))]  # a word ends with its text
+    inner = joint[~space[joint] & ~space[joint + 1]]
+    begins[inner] = stops[inner] = True
+    start = np.flatnonzero(begins)
+    return ByteWords(data).hashes(start, np.flatnonzero(stops) - start), np.searchsorted(start, ends)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
