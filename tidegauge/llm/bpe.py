@@ -31,9 +31,9 @@ from tidegauge.llm.texts import ByteWords, text_bytes, text_parts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fragments that one Python worker remembers; then it starts anew. Longer ones than so many bytes are not remembered.
-CACHE_ENTRIES, LONGEST = 2_000_000, 256
+CACHE_ENTRIES, LONGEST = 1_000_000, 256
 #: Pieces of fragments that BoundaryEncoder remembers besides.
-PIECES = 400_000
+PIECES = 200_000
 #: A run of Latin letters with the marks after it, which the pre-tokenizer cuts between the two.
 _PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]+)?")
 #: In UTF-8, white space, or taken for it somewhere, beyond the six that cut fragments: U+1C-1F, 85, A0, 1680, 180E, 2000-200B, 2028, 2029, 202F, 205F, 3000.
@@ -76,7 +76,7 @@ def runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class _Memory:
     """Numbers of the fragments seen so far by their hash, in a table with linear probing; their bytes and ids by number."""
 
-    BITS = 22
+    BITS = 21
 
     def __init__(self) -> None:
         self.keys, self.number = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)

@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.scratch import Scratch
-from tidegauge.llm.texts import word_array
+from tidegauge.llm.texts import apart, word_array
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Rows of a side that is sent to every executor at most; beyond that, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Bytes of a side that is sent to every executor at most; beyond that, both sides are shuffled. A row of ids and hashes has 40.
+BROADCAST_BYTES, ROW = 20_000_000, 40
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int, most: int) -> DataFrame:
+    return F.broadcast(df) if size <= most else df
 
 
 def _word_hashes(words: Column) -> Column:
@@ -56,7 +56,7 @@ def item_sketches(items: DataFrame, width: int, containment: float) -> DataFrame
     return out.select("item_id", "width", "q", F.floor(F.log2("q")).cast("int").alias("part"), F.explode(F.slice("hashes", F.lit(1), k.cast("int"))).alias("h"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment: float = CONTAINMENT, most: int = BROADCAST_BYTES) -> DataFrame:
     """``(doc_id, item_id, n_shingles, n_shared, containment)``: each item and each document that holds at least that part of its shingles.
 
     Words are runs of letters and digits in lower case; shingles are ``width`` different runs of words, compared as
@@ -77,7 +77,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment:
         each = within[0]
         for more in within[1:]:
             each = each | more
-        one = hashes.where(F.col("h") <= top).join(_small(sketch.where(F.col("width") == w), n), "h").where(each).select("doc_id", "item_id")
+        one = hashes.where(F.col("h") <= top).join(_small(sketch.where(F.col("width") == w), n * ROW, most), "h").where(each).select("doc_id", "item_id")
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
@@ -85,14 +85,14 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment:
     hit = pairs.select("doc_id").distinct()
     n_docs = hit.count()
     near = docs.where("text is not null").select("doc_id", "text")
-    if n_docs <= BROADCAST_ROWS:
+    if n_docs * ROW <= most:
         near = near.join(F.broadcast(hit.withColumnRenamed("doc_id", "_hit")), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi")
     item_words = items.select("item_id", word_array(F.col("text")).alias("words"))
     size = F.least(F.size("words"), F.lit(width))
     own = item_words.where(F.size("words") > 0).select("item_id", _shingles(F.col("words"), size).alias("own"), size.alias("width"))
-    n_items = items.count()
+    text_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text") + ROW), F.lit(0))).first()[0]  # a word is in ``width`` shingles
     doc_words = near.select("doc_id", word_array(F.col("text")).alias("words"))
-    named = pairs.join(_small(own, n_items), "item_id").withColumnRenamed("doc_id", "_doc")
+    named = pairs.join(_small(own, width * text_bytes, most), "item_id").withColumnRenamed("doc_id", "_doc")
     both = named.join(doc_words, F.col("doc_id").eqNullSafe(F.col("_doc")))
     shared = both.select("doc_id", "item_id", F.size("own").alias("n_shingles"), F.size(F.array_intersect("own", _shingles(F.col("words"), F.col("width")))).alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9)
@@ -104,8 +104,9 @@ def without_leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, conta
     """``docs`` without the rows whose text ``leaks`` finds; others that share its doc_id, or have none either, stay."""
     scratch = Scratch(docs.sparkSession, "leaked")
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # a text is judged by itself, so its hash names it
-    found = scratch.save(leaks(texts, items, width, containment).select("doc_id").distinct(), "texts").withColumnRenamed("doc_id", "_hit")
-    return docs.join(_small(found, found.count()), F.xxhash64("text") == F.col("_hit"), "left_anti")
+    hit = apart(docs)("hit")
+    found = scratch.save(leaks(texts, items, width, containment).select("doc_id").distinct(), "texts").withColumnRenamed("doc_id", hit)
+    return docs.join(_small(found, ROW * found.count(), BROADCAST_BYTES), F.xxhash64("text") == F.col(hit), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

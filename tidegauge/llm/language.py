@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,12 @@ from tidegauge.llm.texts import text_parts
 UNKNOWN = "und"
 #: Hash buckets of the character n-grams of one to three characters.
 BUCKETS = 4096
-#: Labelled texts per language that the centroids are clustered from at most, chosen by hash; document frequencies use all.
+#: Different labelled texts per language that the centroids are clustered from at most, chosen by hash; document frequencies use all.
 PER_LANGUAGE = 500
 CENTROIDS = 4
 #: A text is rejected if its similarity is below this part of what the least similar hundredth of its centroid's texts have.
 REJECT = 0.4
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def ngram_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -97,11 +98,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     if not n:
         return None
     idf = np.log((1 + n) / (1 + seen)) + 0.1
-    counts = known.groupBy("lang").count()
+    known = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = known.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("count"))
     share = F.least(F.lit(1.0), F.lit(1.3 * per_language) / F.col("count"))
-    drawn = known.join(F.broadcast(counts), "lang").where((F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) <= share * (1 << 20)))  # a row a language
+    drawn = known.join(F.broadcast(counts), "lang").where((F.pmod(F.xxhash64("h", F.lit("fit")), F.lit(1 << 20)) <= share * (1 << 20)))  # a row a language
     some: dict[str, list[str]] = {}
-    for row in drawn.select("lang", "text", F.xxhash64("doc_id").alias("h")).orderBy("lang", "h").toLocalIterator():
+    for row in drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).orderBy("lang", "h").toLocalIterator():
         if len(some.setdefault(row["lang"], [])) < per_language:
             some[row["lang"]].append(vector(row["text"], idf))
     languages, centres, owner, radius = sorted(some), [], [], []

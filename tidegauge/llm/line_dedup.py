@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm.scratch import Scratch
+from tidegauge.llm.texts import apart
 
 WINDOW = 3
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, body, at, h1, h2)``: two independent 64-bit hashes of each run of ``width`` lines with a visible one; ``at`` counts from 0."""
+    """``(doc_id, body, at, h1, h2)``: two independent 64-bit hashes of each run of ``width`` lines that aren't spaces alone; ``at`` counts from 0."""
     part = lambda i: [F.get(F.col("lines"), i + k) for k in range(width)]
     marked = lambda i: F.struct(
         i.alias("at"), F.xxhash64(*part(i)).alias("h1"), F.xxhash64(F.lit(width), *reversed(part(i))).alias("h2"), (F.trim(F.concat(*part(i))) != "").alias("visible")
@@ -37,25 +38,26 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, width: int = WINDOW) -> Da
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs (doc_id, text, ...)`` with repeated lines taken out of ``text``, and ``n_lines`` and ``n_removed`` added last.
 
-    Lines are split at ``\\n`` and compared exactly. Of each run of ``width`` lines that occurs more than once in all
+    Lines are split at ``\\n`` and compared exactly, up to collisions of two 64-bit hashes. Of each run of ``width`` lines that occurs more than once in all
     of ``docs``, the first by (doc_id, line) stays; the lines of all others are removed, wherever such windows overlap.
-    Windows are judged on the input; one without any visible character doesn't count; a text of fewer lines has none.
+    Windows are judged on the input; one of spaces alone doesn't count; a text of fewer lines has none.
 
     Null texts stay null, with 0 lines; rows without a doc_id stay as they are; rows that repeat both doc_id and text
     count once and are treated alike. An empty table gives an empty one. Columns of ``docs`` named n_lines or n_removed
     are replaced; any others stay. A text of any length is one value in one task; a window may occur any number of times.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    found = scratch.save(repeated_lines(docs, scratch, width), "found").select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), "starts").hint("merge")
+    mine = apart(docs)
+    found = scratch.save(repeated_lines(docs, scratch, width), "found").select(F.col("doc_id").alias(mine("doc")), F.col("body").alias(mine("body")), F.col("starts").alias(mine("starts"))).hint("merge")
     kept = docs.drop("n_lines", "n_removed").columns
-    joined = docs.select(*kept).join(found, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_body")), "left")
+    joined = docs.select(*kept).join(found, (F.col("doc_id") == F.col(mine("doc"))) & (F.xxhash64("text") == F.col(mine("body"))), "left")
     lines, n = F.split("text", "\n"), F.size(F.split("text", "\n"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + width - 1))))
+    covered = F.array_distinct(F.flatten(F.transform(mine("starts"), lambda s: F.sequence(s, s + width - 1))))
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), n - 1), covered))
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    out = joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.coalesce(F.size(covered), F.lit(0)).cast("long"), "_text": text})
-    out = out.withColumn("n_removed", F.when(F.col("starts").isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in kept], "n_lines", "n_removed")
+    text = F.when(F.col(mine("starts")).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    out = joined.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.coalesce(F.size(covered), F.lit(0)).cast("long"), mine("text"): text})
+    out = out.withColumn("n_removed", F.when(F.col(mine("starts")).isNull(), 0).otherwise(F.col("n_removed")).cast("long"))
+    return out.select(*[F.col(mine("text")).alias("text") if c == "text" else F.col(c) for c in kept], "n_lines", "n_removed")
 
 
 def shortened(docs: DataFrame, width: int = WINDOW) -> DataFrame:

@@ -85,9 +85,14 @@ def base_failed() -> "F.Column":
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Forest | None:
-    """Trees fitted on ``quality`` of at most ``most`` labelled documents; None without any."""
-    rows = hash_sample(labels.where("quality is not null and doc_id is not null").select("doc_id", "quality"), "doc_id", most)
-    known = stats.join(F.broadcast(rows), "doc_id").where(~base_failed()).orderBy("doc_id", *STATS, "quality").toPandas()  # most is the bound
+    """Trees fitted on ``quality`` of about ``most`` labelled documents at most; None without any.
+
+    A doc_id counts once, with the best of its labels and the least of its rows, so that the bound holds for any table.
+    """
+    named = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = hash_sample(named, "doc_id", most)
+    once = stats.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "quality", "s.*")  # most is the bound
+    known = once.where(~base_failed()).orderBy("doc_id").toPandas()
     if known.empty:
         return None
     return fit(features(known[STATS].to_numpy()), known["quality"].to_numpy(np.float64), list(MONOTONE.values()))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "tidegauge-shared")
 
 
+_opened: list[Scratch] = []
+
+
+@contextmanager
+def freed() -> Iterator[None]:
+    """At the end, the tables of all Scratches made within are dropped: for callers that have written what they wanted."""
+    begun = len(_opened)
+    yield
+    while len(_opened) > begun:
+        _opened.pop().drop("")
+
+
 class Scratch:
     """Tables of one operator's run; ``drop`` frees those that no later plan reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _opened.append(self)
 
     def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+        return f"{self.root}/{table}" if table else self.root
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(table))
