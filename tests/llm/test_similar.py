@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tidegauge.llm import decontaminate, simhash
-from tidegauge.llm.similar import similar_groups
+from tidegauge.llm.similar import parities, shingle_sets, similar_groups
 
 WIDTH, PART = 5, 0.8
 
@@ -74,3 +77,22 @@ def test_clean_texts_under_a_shared_doc_id_stay(spark):
     tuples = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert tuples(decontaminate.without_leaks(docs, items)) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
     assert tuples(simhash.keep_one(docs)) == sorted([(None, f"{item} i"), (None, clean[0]), (1, f"{item} j"), (1, clean[1]), (None, None)], key=str)
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 64, 65, 300, 3000):
+        x = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        for part in (0.0, 0.2, 0.9):
+            y = np.unique(np.concatenate([x[rng.random(len(x)) >= part], rng.integers(1 << 62, size=int(part * n))]))
+            a, b = parities(x), parities(y)
+            size = min(len(a), len(b))
+            a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_shingle_sets_do_not_cross_texts():
+    rows = ["a b c d e", "F g", None, "", " \n", "a b c d e f g h", "x", "A  b\tC d\ne"]
+    sets = shingle_sets(pa.array(rows), WIDTH)
+    assert [len(s) for s in sets] == [1, 1, 0, 0, 0, 4, 1, 1]
+    assert sets[0][0] == sets[7][0] and sets[0][0] in sets[5]
