@@ -31,9 +31,9 @@ from tidegauge.llm.texts import ByteWords, text_bytes, text_parts
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fragments that one Python worker remembers; then it starts anew. Longer ones than so many bytes are not remembered.
-CACHE_ENTRIES, LONGEST = 1_000_000, 256
+CACHE_ENTRIES, LONGEST = 600_000, 256
 #: Pieces of fragments that BoundaryEncoder remembers besides.
-PIECES = 200_000
+PIECES = 100_000
 #: A run of Latin letters with the marks after it, which the pre-tokenizer cuts between the two.
 _PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]+)?")
 #: In UTF-8, white space, or taken for it somewhere, beyond the six that cut fragments: U+1C-1F, 85, A0, 1680, 180E, 2000-200B, 2028, 2029, 202F, 205F, 3000.
@@ -118,26 +118,25 @@ class _Memory:
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
-    return a if n <= len(a) else np.concatenate([a, np.zeros(max(int(n), 2 * len(a)) - len(a), a.dtype)])
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(int(n), 3 * len(a) // 2) - len(a), a.dtype)])
 
 
 class WordEncoder:
     """Encodes texts as the library does with add_special_tokens=False; remembers the ids of fragments, not of texts."""
 
     def __init__(self, path: str):
-        spec = json.loads(open(path, encoding="utf-8").read())
+        self.path, spec = path, json.loads(open(path, encoding="utf-8").read())
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.odd = re.compile(b"|".join([_OTHER_SPACE.pattern, *(re.escape(t.encode()) for t in self.added)]))
         self.lead = np.zeros(256, bool)  # bytes that what ``odd`` finds can begin with
         self.lead[[*b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3", *(t.encode()[0] for t in self.added)]] = True
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.memory = _Memory()
         self.setup(spec)
 
     def setup(self, spec: dict) -> None:
-        pass
+        self.library = Tokenizer.from_file(self.path)
+        self.library.no_truncation()
+        self.library.no_padding()
 
     def encode_new(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all fragments, and how many each has."""
@@ -205,13 +204,13 @@ class BoundaryEncoder(WordEncoder):
 
     def setup(self, spec: dict) -> None:
         to_byte = {c: b for b, c in enumerate(byte_chars())}
-        self.tokens = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        tokens = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         inside = np.zeros((256, 256), bool)
-        for token in self.tokens.values():
+        for token in tokens.values():
             a = np.frombuffer(token, np.uint8)
             inside[a[:-1], a[1:]] = True
         self.inside = inside
-        self.tokens |= {i: content.encode() for content, i in self.added.items()}
+        tokens |= {i: content.encode() for content, i in self.added.items()}
         self.cut_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.pieces: dict[str, bytes] = {}
@@ -219,10 +218,10 @@ class BoundaryEncoder(WordEncoder):
         # The merges alone, without a pre-tokenizer: pieces are not cut again.
         alone = spec | {"pre_tokenizer": None, "added_tokens": [], "normalizer": None, "decoder": None, "post_processor": None}
         self.merges = Tokenizer.from_str(json.dumps(alone))
-        size = max(self.tokens) + 1
-        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)])
+        size = max(tokens) + 1
+        self.lengths = np.array([len(tokens.get(i, b"")) for i in range(size)])
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
 
     def cut(self, pretokens: list[str]) -> list[list[str]]:
         """The pieces of each pre-token, in the vocabulary's characters: all are cut at once."""
@@ -279,7 +278,7 @@ def encoder(kind: type, path: str) -> WordEncoder:
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[bytes]]]:
     """Each part with the ids and the decoded text of its rows."""
     own = encoder(BoundaryEncoder, path)
-    for part in text_parts(batches):
+    for part in text_parts(batches, 128):
         ids, ends = own.encode_flat(*text_bytes(part.column("text")))
         until = (4 * ends).tolist()
         raw = ids.tobytes()
