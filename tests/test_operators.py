@@ -1,11 +1,13 @@
 """Hand-computed cases for what SQL over the driver's tables doesn't show."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.functions import labels as L
 from tidegauge.functions import lines as P
 from tidegauge.operators import alerts as A
 from tidegauge.operators import tables as J
+from tidegauge.operators import objects as O
 from tidegauge.operators import vectors as V
 from tidegauge.sources import tables as S
 from tidegauge.streaming import ingest
@@ -122,3 +124,40 @@ def test_stream_equals_batch(spark, tmp_path):
     run = bursts.writeStream.format("memory").queryName("bursts").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert [(r.namespace, r.n) for r in spark.table("bursts").collect()] == [("shop", 2)]
+
+
+def test_a_series_must_come_once(spark):
+    once = spark.createDataFrame([("x", 1.0)], "s string, value double")
+    twice = spark.createDataFrame([("x", 1.0), ("x", 2.0)], "s string, value double")
+    for f in (lambda: V.ratio(once, twice, ["s"]), lambda: V.added([twice, once], ["s"])):
+        with pytest.raises(Exception, match="more than once"):
+            f().collect()
+    assert [r.value for r in V.scalar_ratio(once.select("value"), once.select("value")).collect()] == [1.0]
+    assert V.scalar_ratio(once.select("value"), once.select("value").where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["log_rate_by", "count_by_series", "topk_by", "autoscale", "windows_in_one_scan", "counter_increase_reset", "counter_rate_by"])
+def test_ranges_reach_the_scan(spark, name):
+    from tidegauge.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts," in plan and "LessThanOrEqual(ts," in plan
+
+
+def test_told_times_stream_through_pieces(spark):
+    times = [(k, t) for k in (None, 1, 2) for t in range(0, 500, 7 + (k or 0))] + [(1, 5), (1, 5), (2, 10_000)]
+    got = sorted((str(r.k), r.t) for r in A.emitted(spark.createDataFrame(times, "k long, t long"), "k", "t", 20).collect())
+    want = []
+    for k in (None, 1, 2):
+        last = None
+        for t in sorted(t for x, t in times if x == k):
+            if last is None or t - last >= 20:
+                want.append((str(k), last := t))
+    assert got == sorted(want)
+
+
+def test_nested_lists_that_are_missing(spark):
+    rows = spark.createDataFrame([(1, None, ["a"]), (2, [], None), (3, ["s"], ["a"])], "i int, silenced_by array<string>, inhibited_by array<string>")
+    assert {(r.i, r.active, r.silenced, r.inhibited) for r in O.alert_flags(rows).collect()} == {(1, False, False, True), (2, True, False, False), (3, False, True, True)}
+    lines = spark.createDataFrame([("s", 1, "P", "a"), ("s", 2, "F", "b"), ("s", 3, "F", "c"), ("s", 4, "P", "d")], "s string, i int, flag string, line string")
+    assert sorted((r.first, r.line) for r in O.joined_lines(lines, ["s"], ["i"], "flag", "line").collect()) == [(1, "ab"), (3, "c"), (4, "d")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
+def moment(at: int) -> Column:
+    """The timestamp without zone of microseconds since the epoch, as a constant that a scan can compare its column with."""
+    return F.lit((datetime(1970, 1, 1) + timedelta(microseconds=at)).isoformat(" ")).cast("timestamp_ntz")
+
+
 def duration(text: str) -> int:
     """Microseconds of ``<n>{s,m,h,d}``."""
     return int(text[:-1]) * _UNITS[text[-1]]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def routed(alerts: DataFrame, routes: list[tuple[str, str | None]], otherwise: s
 
 def missing(beats: DataFrame, at: str, by: list[str], step: int, start: int, end: int) -> DataFrame:
     """``(*by, t)``: grid points of each series in whose step before, ``(t - step, t]``, there was no heartbeat."""
-    seen = beats.select(*by, (F.ceil(F.col(at) / F.lit(step).cast("decimal(20,0)")).cast("long") * step).alias("t")).distinct()
+    seen = beats.select(*by, (F.col(at) + F.pmod(-F.col(at), F.lit(step))).alias("t")).distinct()
     grid = beats.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))).alias("t"))
     return grid.join(seen, [*by, "t"], "left_anti")
 
@@ -59,10 +61,28 @@ def cooled_down(gaps: DataFrame, by: list[str], step: int, cooldown: int) -> Dat
     return outage.withColumn("k", k).where(F.col("k") % every == 0).select(*by, "t")
 
 
-def emitted(times: Column, cooldown: int) -> Column:
-    """Of an array of times, those told with a cooldown after the last *told* one, which only a fold can tell."""
-    empty = F.array().cast("array<bigint>")
-    return F.aggregate(F.array_sort(times), empty, lambda told, t: F.when((F.size(told) == 0) | (t - F.try_element_at(told, F.lit(-1)) >= cooldown), F.array_append(told, t)).otherwise(told))
+def emitted(rows: DataFrame, key: str, at: str, cooldown: int) -> DataFrame:
+    """``(key, at)``: of each key's times in microseconds, those told with a cooldown after the last *told* one.
+
+    A time that follows none within the cooldown is always told, so keys are cut there; within a piece, which only a
+    fold can tell, sorted rows stream through a task that keeps one time.
+    """
+    w = Window.partitionBy(key).orderBy(at)
+    cut = F.coalesce(F.col(at) - F.lag(at).over(w) >= cooldown, F.lit(True))
+    pieces = rows.select(key, at).withColumn("_piece", F.sum(cut.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, told = None, 0
+        for batch in batches:
+            keep = []
+            for i, (k, p, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "_piece", at)), strict=True)):
+                if (k, p) != piece or t - told >= cooldown:
+                    piece, told = (k, p), t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).select([key, at])
+
+    dealt = pieces.repartition(key, "_piece").sortWithinPartitions(key, "_piece", at)
+    return dealt.mapInArrow(run, rows.select(key, at).schema)
 
 
 def replicas(value: Column, threshold: float, least: int, most: int) -> Column:

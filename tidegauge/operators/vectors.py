@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.labels import micros
+from tidegauge.functions.labels import micros, moment
 
 
 def in_range(ts: str | Column, at: int, window: int) -> Column:
-    """Of rows in ``(at - window, at]``, in microseconds."""
-    u = micros(ts)
-    return (u > at - window) & (u <= at)
+    """Of rows in ``(at - window, at]``, in microseconds; compared as timestamps, so that the scan prunes by it."""
+    at_time = F.col(ts) if isinstance(ts, str) else ts
+    return (at_time > moment(at - window)) & (at_time <= moment(at))
 
 
 def on_grid(rows: DataFrame, ts: str, step: int, window: int, start: int | None = None, end: int | None = None) -> DataFrame:
     """A row for each point ``t`` of the grid whose range holds the row: ``window / step`` of them, and no join."""
     u = micros(ts)
-    first, last = F.ceil(u / F.lit(step).cast("decimal(20,0)")).cast("long") * step, F.floor((u + (window - 1)) / F.lit(step).cast("decimal(20,0)")).cast("long") * step
+    first, last = u + F.pmod(-u, F.lit(step)), u + (window - 1) - F.pmod(u + (window - 1), F.lit(step))
+    if window == step and start is None and end is None:  # one point each
+        return rows.withColumn("t", first)
     if start is not None:
         first = F.greatest(first, F.lit(start))
     if end is not None:
@@ -65,17 +67,33 @@ def extrapolated(samples: DataFrame, by: list[str], ts: str, value: str, at: int
     return found.select(*by, (F.col("d") * (span + to_start + near(at - F.col("b"))) / span).alias("increase"))
 
 
+def _once(vector: DataFrame, on: list[str], name: str) -> DataFrame:
+    found = vector.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first("value").alias(name))
+    return found.select(*on, F.when(F.col("_n") > 1, F.raise_error(F.lit("a series comes more than once on one side")).cast(found.schema[name].dataType)).otherwise(F.col(name)).alias(name))
+
+
+def scalar_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a / b`` of two vectors of one sample without labels; empty if either is, null for a zero divisor."""
+    return ratio(a.withColumn("_all", F.lit(1)), b.withColumn("_all", F.lit(1)), ["_all"]).select("value")
+
+
+def auto_step(rows: DataFrame, ts: str, points: int, least: int) -> int:
+    """The step of a grid of about ``points`` points over all rows: a whole number of ``least``."""
+    first, last = rows.agg(F.min(micros(ts)), F.max(micros(ts))).first()
+    return least * max(1, -(-(last - first) // (points * least))) if first is not None else least
+
+
 def ratio(a: DataFrame, b: DataFrame, on: list[str], name: str = "value") -> DataFrame:
-    """``a / b`` of series with the same labels, which each side must have once; a zero divisor gives null."""
-    both = a.select(*on, F.col("value").alias("_a")).join(b.select(*on, F.col("value").alias("_b")), on)
+    """``a / b`` of series with the same labels, which each side must have once, or it raises; a zero divisor gives null."""
+    both = _once(a, on, "_a").join(_once(b, on, "_b"), on)
     return both.select(*on, F.try_divide("_a", "_b").alias(name))
 
 
 def added(vectors: list[DataFrame], on: list[str]) -> DataFrame:
-    """The sum of vectors; series that any of them lacks drop out."""
-    out = vectors[0].select(*on, F.col("value").alias("_0"))
+    """The sum of vectors, each of which must have a series once, or it raises; series that any of them lacks drop out."""
+    out = _once(vectors[0], on, "_0")
     for i, v in enumerate(vectors[1:], 1):
-        out = out.join(v.select(*on, F.col("value").alias(f"_{i}")), on)
+        out = out.join(_once(v, on, f"_{i}"), on)
     return out.select(*on, sum((F.col(f"_{i}") for i in range(1, len(vectors))), F.col("_0")).alias("value"))
 
 
