@@ -307,9 +307,10 @@ def keep_one(docs: DataFrame, width: int = 5, min_jaccard: float = 0.8) -> DataF
     scratch = Scratch(docs.sparkSession, "keep")
     groups = scratch.save(similar_groups(docs, width, min_jaccard), "groups")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
-    first = groups.groupBy("root").agg(F.min(name).alias("first"))
-    rows = groups.groupBy("doc_id", "body", "root").agg(F.count(F.lit(1)).alias("n"))
-    told = rows.join(first, "root").select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), (~name.eqNullSafe(F.col("first"))).alias("_gone"), "n").where("_gone or n > 1").drop("n")
+    rows = groups.groupBy("doc_id", "body", "root").agg(F.count(F.lit(1)).alias("n")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "body"), F.lit(64)))
+    low = rows.groupBy("root", "salt").agg(F.min(name).alias("first")).groupBy("root").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
+    first = low.select("root", "first", F.explode("salts").alias("salt"))  # a large group is dealt out by salts
+    told = rows.join(first.hint("merge"), ["root", "salt"]).select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), (~name.eqNullSafe(F.col("first"))).alias("_gone"), "n").where("_gone or n > 1").drop("n")
     told = scratch.save(told, "told")
     columns = docs.columns
     mine = apart(docs)
