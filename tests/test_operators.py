@@ -161,3 +161,11 @@ def test_nested_lists_that_are_missing(spark):
     assert {(r.i, r.active, r.silenced, r.inhibited) for r in O.alert_flags(rows).collect()} == {(1, False, False, True), (2, True, False, False), (3, False, True, True)}
     lines = spark.createDataFrame([("s", 1, "P", "a"), ("s", 2, "F", "b"), ("s", 3, "F", "c"), ("s", 4, "P", "d")], "s string, i int, flag string, line string")
     assert sorted((r.first, r.line) for r in O.joined_lines(lines, ["s"], ["i"], "flag", "line").collect()) == [(1, "ab"), (3, "c"), (4, "d")]
+
+
+def test_arrays_maps_and_sizes_at_their_edges(spark):
+    rows = spark.createDataFrame([(None, {"a": 1, "b": 2}, None, "1.5K"), (["x"], {"a": 1}, {"a": 5}, "2T"), ([], {}, {}, "K"), (list("abcdefg"), None, {"a": 1}, None)], "tags array<string>, spec map<string,bigint>, status map<string,bigint>, size string")
+    out = rows.select(O.last(F.col("tags"), 5).alias("t"), O.with_entry(F.col("spec"), F.col("status"), F.lit(0).cast("long")).alias("e"), O.size_bytes(F.col("size")).alias("b")).collect()
+    assert [r["t"] for r in out] == [[], ["x"], [], list("cdefg")]
+    assert [None if r["e"] is None else sorted(map(tuple, r["e"])) for r in out] == [[("a", 1, 0), ("b", 2, 0)], [("a", 1, 5)], [], None]
+    assert [r["b"] for r in out] == [1536.0, 2.0 * 1024**4, None, None]

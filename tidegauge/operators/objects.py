@@ -71,3 +71,22 @@ def joined_lines(rows: DataFrame, stream: list[str], order: list[str], flag: str
     before = F.coalesce(F.sum((F.col(flag) == "F").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = rows.withColumn("_line", before).groupBy(*stream, "_line").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("part")))).alias("parts"))
     return parts.select(*stream, F.col("parts")[0][order[0]].alias("first"), F.array_join(F.col("parts.part"), "").alias("line"))
+
+
+def last(array: Column, k: int) -> Column:
+    """The last ``k`` elements; all of a shorter array, none of a null one."""
+    a = F.coalesce(array, F.array().cast("array<string>"))
+    return F.slice(a, F.greatest(F.size(a) - (k - 1), F.lit(1)), k)
+
+
+def with_entry(spec: Column, status: Column, missing: Column) -> Column:
+    """Each key of the map ``spec`` with ``status`` under the same key, or ``missing``: a left join within one object."""
+    found = F.coalesce(status, F.create_map().cast("map<string,bigint>"))
+    return F.transform(F.map_entries(spec), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("spec"), F.coalesce(F.try_element_at(found, e["key"]), missing).alias("status")))
+
+
+def size_bytes(text: Column) -> Column:
+    """Bytes of a size such as ``1.5G``, by powers of 1024; null for other texts."""
+    number, unit = (F.regexp_extract(text, r"^([0-9]+(?:\.[0-9]+)?)([KMGT]?)$", i) for i in (1, 2))
+    power = F.when(unit == "K", 1).when(unit == "M", 2).when(unit == "G", 3).when(unit == "T", 4).otherwise(0)
+    return F.when(number != "", number.cast("double") * F.pow(F.lit(1024.0), power))

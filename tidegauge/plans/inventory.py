@@ -191,3 +191,63 @@ def histogram_quantile_by_two(spark, d):
 
     by = ["l_returnflag", "l_linestatus"]
     return V.histogram_quantile(0.9, _buckets(spark, d, by), by).select(*by, F.round("value", 6).alias("value"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE (lower(p_name) LIKE '%part 1%' AND lower(p_type) LIKE '%small%') OR lower(p_brand) LIKE '%#2%'")
+def two_field_search(spark, d):
+    has = lambda column, text: F.lower(column).contains(text)
+    return table(spark, d, "part").where((has("p_name", "part 1") & has("p_type", "small")) | has("p_brand", "#2")).select("p_partkey", "p_name")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 4 <> l_suppkey % 4")
+def columns_differ(spark, d):
+    return table(spark, d, "lineitem").where(F.col("l_partkey") % 4 != F.col("l_suppkey") % 4).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT pod, string_agg(tag, ',' ORDER BY tag) FILTER (r <= 5) AS tags FROM (SELECT pod, tag, row_number() OVER (PARTITION BY pod ORDER BY tag DESC) AS r FROM
+(SELECT DISTINCT l_orderkey AS pod, '8.' || lpad(l_partkey::TEXT, 8, '0') AS tag FROM lineitem WHERE l_returnflag <> 'A')) GROUP BY 1""")
+def last_five_tags(spark, d):
+    tag = F.concat(F.when(F.col("l_returnflag") == "A", "7.").otherwise("8."), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))
+    tags = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pod")).agg(F.array_sort(F.collect_set(tag)).alias("tags"))
+    kept = O.last(F.filter("tags", lambda t: t.startswith("8.")), 5)
+    return tags.select("pod", kept.alias("kept")).where(F.size("kept") > 0).select("pod", F.array_join("kept", ",").alias("tags"))
+
+
+@query("SELECT l_orderkey AS node, 'd' || l_linenumber AS disk, sum(l_partkey)::BIGINT AS spec, coalesce(sum(l_suppkey) FILTER (l_returnflag = 'R'), 0)::BIGINT AS status FROM lineitem GROUP BY ALL")
+def disks_with_status(spark, d):
+    told = F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).cast("long")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_partkey").cast("long").alias("part"), told.alias("supp"))
+    disk = F.concat(F.lit("d"), F.col("l_linenumber").cast("string"))
+    of = lambda value, hit: F.map_from_entries(F.filter(F.collect_list(F.when(hit, F.struct(disk, value))), lambda e: e.isNotNull()))
+    nodes = lines.groupBy(F.col("l_orderkey").alias("node")).agg(of("part", F.lit(True)).alias("spec"), of("supp", F.col("supp").isNotNull()).alias("status"))
+    return nodes.select("node", F.explode(O.with_entry(F.col("spec"), F.col("status"), F.lit(0).cast("long"))).alias("e")).select("node", F.col("e.key").alias("disk"), "e.spec", "e.status")
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS seen, round((max(value) - min(value)) / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 9) AS per_second FROM events GROUP BY 1")
+def sampled_distinct(spark, d):
+    took = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    slope = F.try_divide(F.max("value") - F.min("value"), took / 1_000_000)
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("seen"), F.round(slope, 9).alias("per_second"))
+
+
+@query("SELECT p_partkey, size FROM (SELECT p_partkey, p_size || CASE p_partkey % 3 WHEN 0 THEN 'K' WHEN 1 THEN 'M' ELSE '' END AS size, p_size * CASE p_partkey % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1 END AS b FROM part) ORDER BY b DESC, p_partkey LIMIT 20")
+def largest_by_size_text(spark, d):
+    unit = F.when(F.col("p_partkey") % 3 == 0, "K").when(F.col("p_partkey") % 3 == 1, "M").otherwise("")
+    sizes = table(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), unit).alias("size"))
+    return V.top(sizes.withColumn("b", O.size_bytes(F.col("size"))), "b", 20, ["p_partkey"]).select("p_partkey", "size")
+
+
+@query("SELECT event_id, strftime(ts, '%m-%d %H:%M:%S') AS short, strftime(ts, '%Y-%m-%d %H:%M:%S') AS plain FROM events")
+def time_texts(spark, d):
+    started = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "MM-dd HH:mm:ss").alias("short"), F.translate(F.left(started, F.lit(19)), "T", " ").alias("plain"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'vip=' || s_nationkey ELSE '' END AS kept, s_nationkey = 7 AS mentioned FROM supplier WHERE s_acctbal > 0 OR s_nationkey < 10""")
+def annotations_by_substring(spark, d):
+    notes = F.create_map(F.when(F.col("s_acctbal") > 0, "net/vip").otherwise("net/name"), F.col("s_nationkey").cast("string"))
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", notes.alias("notes"))
+    kept = F.map_filter("notes", lambda k, v: k.contains("vip") | k.contains("lb"))
+    text = F.array_join(F.transform(F.map_values("kept"), lambda v: F.concat(F.lit("vip="), v)), ",")
+    out = rows.withColumn("kept", kept).where((F.size("kept") > 0) | (F.col("s_nationkey") < 10))
+    return out.select("s_suppkey", text.alias("kept"), F.to_json("notes").contains('":"7"').alias("mentioned"))
