@@ -237,11 +237,11 @@ def test_labels_of_one_key_stay_bounded(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     want = db.execute(registry.ORACLES[name]).df()
     got = registry.QUERIES[name](spark, FOLDER).toPandas()
-    by = [c for c in ("doc_id", "page_id", "item_id") if c in got]
+    by = [c for c in ("doc_id", "page_id", "item_id", "vec_id", "conv_id") if c in got]
     pd.testing.assert_frame_equal(got.sort_values(by, ignore_index=True)[sorted(got)], want.sort_values(by, ignore_index=True)[sorted(want)], check_dtype=False)
 
 
