@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Microseconds of the duration units.
 _UNITS = {"s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 
+def _zoned(c: Column) -> Column:
+    """Whether a timestamp has a zone: known when the query is planned, so that the other branch costs nothing."""
+    return F.typeof(c) == "timestamp"
+
+
 def micros(ts: str | Column) -> Column:
-    """Microseconds since the epoch of a timestamp, with or without time zone (then in the session's)."""
-    return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
+    """Microseconds since the epoch of a timestamp; one without zone is in UTC, whatever the session's zone is."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    since = (c.cast("timestamp_ntz") - moment(0)).cast("interval second").cast("decimal(20,6)")
+    return F.when(_zoned(c), F.unix_micros(c.cast("timestamp"))).otherwise((since * 1_000_000).cast("long"))
 
 
 def moment(at: int) -> Column:
@@ -21,6 +29,17 @@ def moment(at: int) -> Column:
     return F.lit((datetime(1970, 1, 1) + timedelta(microseconds=at)).isoformat(" ")).cast("timestamp_ntz")
 
 
+def later(ts: str | Column, at: int) -> Column:
+    """Whether a timestamp is after ``at`` microseconds; the constant has the column's own type, so that scans prune by it."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.when(_zoned(c), c > F.timestamp_micros(F.lit(at))).otherwise(c > moment(at))
+
+
+def not_later(ts: str | Column, at: int) -> Column:
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.when(_zoned(c), c <= F.timestamp_micros(F.lit(at))).otherwise(c <= moment(at))
+
+
 def duration(text: str) -> int:
     """Microseconds of ``<n>{s,m,h,d}``."""
     return int(text[:-1]) * _UNITS[text[-1]]
@@ -38,9 +57,14 @@ def differs(name: str | Column, value: str) -> Column:
     return label(name) != value
 
 
+def whole_match(pattern: str) -> str:
+    r"""A pattern for the whole value; ``\z``, as ``$`` would also stand before a last line end."""
+    return rf"\A(?:{pattern})\z"
+
+
 def matches(name: str | Column, pattern: str) -> Column:
     """The whole label matches the pattern."""
-    return label(name).rlike(f"^(?:{pattern})$")
+    return label(name).rlike(whole_match(pattern))
 
 
 def matches_not(name: str | Column, pattern: str) -> Column:
@@ -53,9 +77,32 @@ def one_of(name: str | Column, choice: str | None) -> Column:
 
 
 def series_key(labels: str | Column) -> Column:
-    """``k=v,k=v`` by key of a label map, ``(total)`` of an empty one: groups, joins and distinct work on it."""
-    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
-    return F.when(F.size(labels) > 0, pairs).otherwise("(total)")
+    r"""``k=v,k=v`` by key of a label map, ``(total)`` of one without labels: groups, joins and distinct work on it.
+
+    ``,``, ``=`` and backslashes inside names and values come with a backslash, so that different maps have different
+    keys; labels that are null or empty count as missing.
+    """
+    kept = F.map_filter(labels, lambda k, v: label(v) != "")
+    plain = lambda c: F.regexp_replace(c, r"([,=\\])", r"\\$1")
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(plain(e["key"]), F.lit("="), plain(e["value"]))), ",")
+    return F.when(F.size(kept) > 0, pairs).otherwise("(total)")
+
+
+def labelled(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with the empty string for missing labels among ``by``; labels that aren't texts stay as they are."""
+    return rows.withColumns({c: label(c) for c in by if rows.schema[c].dataType.simpleString() == "string"})
+
+
+def matched(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on labels, in which missing ones are equal: the labels of ``a``, then the other columns of both (of ``a`` alone in
+    semi and anti joins, in a's order)."""
+    a, b = labelled(a, on), labelled(b, on)
+    if not on:
+        return a.join(b, F.lit(True), how)
+    other = b.withColumnsRenamed({c: f"_{c}_b" for c in on})
+    hit = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}_b")) for c in on))
+    joined = a.join(other, hit, how)
+    return joined if how.endswith(("semi", "anti")) else joined.select(*on, *[c for c in a.columns if c not in on], *[c for c in b.columns if c not in on])
 
 
 def merged(base: str | Column, more: str | Column) -> Column:

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import labels as L
+from tidegauge.functions.labels import labelled
+
 
 @dataclass
 class Rule:
@@ -23,12 +26,14 @@ class Rule:
 def states(vector: DataFrame, rule: Rule, step: int, start: int, end: int, by: list[str]) -> DataFrame:
     """``(t, *by, alertname, severity, state)``, pending or firing, at each point where the rule is true.
 
-    A point without a value is false. Series get the whole grid, so that a gap ends the hold.
+    A point without a value is false, and so ends the hold: a true point goes on from the one a step before, and from none
+    further off, so that the points in between need not be made. A series comes once at a point.
     """
-    grid = vector.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))).alias("t"))
-    true = grid.join(vector.select(*by, "t", "value"), [*by, "t"], "left").withColumn("on", F.coalesce(F.col("value") > rule.over, F.lit(False)))
-    island = F.sum(F.when(~F.col("on"), 1).otherwise(0)).over(Window.partitionBy(*by).orderBy("t"))
-    held = true.withColumn("island", island).where("on").withColumn("since", F.min("t").over(Window.partitionBy(*by, "island")))
+    true = labelled(vector, by).where((F.col("value") > rule.over) & F.col("t").between(start, end)).select("t", *by)
+    w = Window.partitionBy(*by).orderBy("t")
+    begins = F.coalesce(F.col("t") - F.lag("t").over(w) > step, F.lit(True))
+    since = F.last(F.when(F.col("begins"), F.col("t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = true.withColumn("begins", begins).withColumn("since", since)
     state = F.when(F.col("t") - F.col("since") >= rule.hold, "firing").otherwise("pending")
     return held.select("t", *by, F.lit(rule.alert).alias("alertname"), F.lit(rule.severity).alias("severity"), state.alias("state"))
 
@@ -37,15 +42,23 @@ def routed(alerts: DataFrame, routes: list[tuple[str, str | None]], otherwise: s
     """``receiver`` by the first route whose pattern matches the whole alertname; a route to None mutes."""
     to = F.lit(otherwise)
     for pattern, receiver in reversed(routes):
-        to = F.when(F.col("alertname").rlike(f"^(?:{pattern})$"), F.lit(receiver)).otherwise(to)
+        to = F.when(L.matches("alertname", pattern), F.lit(receiver)).otherwise(to)
     return alerts.withColumn("receiver", to).where("receiver is not null")
 
 
 def missing(beats: DataFrame, at: str, by: list[str], step: int, start: int, end: int) -> DataFrame:
-    """``(*by, t)``: grid points of each series in whose step before, ``(t - step, t]``, there was no heartbeat."""
-    seen = beats.select(*by, (F.col(at) + F.pmod(-F.col(at), F.lit(step))).alias("t")).distinct()
-    grid = beats.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(start), F.lit(end), F.lit(step))).alias("t"))
-    return grid.join(seen, [*by, "t"], "left_anti")
+    """``(*by, t)``: grid points of each series in whose step before, ``(t - step, t]``, there was no heartbeat.
+
+    The gap after each point seen lasts until the next one; only its own points are made. ``start`` and ``end`` are on the grid.
+    """
+    seen = labelled(beats, by).select(*by, (F.col(at) + F.pmod(-F.col(at), F.lit(step))).alias("t")).distinct()
+    w = Window.partitionBy(*by).orderBy("t")
+    first = F.when(F.lag("t").over(w).isNull(), F.lit(start))  # the gap before the first of all
+    gaps = seen.select(*by, "t", first.alias("first"), F.lead("t").over(w).alias("next"))
+    to = lambda a, b: F.when(a <= b, F.sequence(a, b, F.lit(step))).otherwise(F.array().cast("array<bigint>"))
+    before = F.when(F.col("first").isNotNull(), to(F.col("first"), F.least(F.col("t") - step, F.lit(end)))).otherwise(F.array().cast("array<bigint>"))
+    after = to(F.greatest(F.col("t") + step, F.lit(start)), F.least(F.coalesce(F.col("next") - step, F.lit(end)), F.lit(end)))
+    return gaps.select(*by, F.explode(F.concat(before, after)).alias("t"))
 
 
 def cooled_down(gaps: DataFrame, by: list[str], step: int, cooldown: int) -> DataFrame:
@@ -65,8 +78,9 @@ def emitted(rows: DataFrame, key: str, at: str, cooldown: int) -> DataFrame:
     """``(key, at)``: of each key's times in microseconds, those told with a cooldown after the last *told* one.
 
     A time that follows none within the cooldown is always told, so keys are cut there; within a piece, which only a
-    fold can tell, sorted rows stream through a task that keeps one time.
+    fold can tell, sorted rows stream through a task that keeps one time. Rows without a time are left out.
     """
+    rows = rows.where(F.col(at).isNotNull())
     w = Window.partitionBy(key).orderBy(at)
     cut = F.coalesce(F.col(at) - F.lag(at).over(w) >= cooldown, F.lit(True))
     pieces = rows.select(key, at).withColumn("_piece", F.sum(cut.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.labels import labelled, matched
+
 
 def array_sum(array: str, field: str) -> Column:
-    """The sum of a field over an array of structs; nulls count as 0."""
-    return F.aggregate(array, F.lit(0).cast("long"), lambda a, c: a + F.coalesce(c[field], F.lit(0)))
+    """The sum of a field over an array of structs; nulls count as 0, and so does a null array."""
+    return F.aggregate(F.coalesce(F.col(array), F.array()), F.lit(0).cast("long"), lambda a, c: a + F.coalesce(c[field], F.lit(0)))
 
 
 def array_count(array: str, condition) -> Column:
@@ -43,7 +45,7 @@ def denied(rows: DataFrame, selectors: list[tuple[str, str, list[str]]]) -> Colu
 
 def upsert(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``new``, and those of ``old`` whose key it lacks."""
-    return new.unionByName(old.join(new.select(*on).distinct(), on, "left_anti"))
+    return labelled(new, on).unionByName(matched(old, new.select(*on), on, "left_anti"))
 
 
 def bits(mask: Column, meanings: list[str], otherwise: str = "ok") -> Column:

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.labels import micros, moment
+from tidegauge.functions.labels import labelled, later, matched, micros, not_later
 
 
 def in_range(ts: str | Column, at: int, window: int) -> Column:
     """Of rows in ``(at - window, at]``, in microseconds; compared as timestamps, so that the scan prunes by it."""
-    at_time = F.col(ts) if isinstance(ts, str) else ts
-    return (at_time > moment(at - window)) & (at_time <= moment(at))
+    return later(ts, at - window) & not_later(ts, at)
 
 
 def on_grid(rows: DataFrame, ts: str, step: int, window: int, start: int | None = None, end: int | None = None) -> DataFrame:
-    """A row for each point ``t`` of the grid whose range holds the row: ``window / step`` of them, and no join."""
+    """A row for each point ``t`` of the grid whose range holds the row: ``window / step`` of them, and no join. For counts, sums and
+    extremes over wide windows see ``panes``, which copies no row."""
+    if start is not None:
+        rows = rows.where(later(ts, start - window))
+    if end is not None:
+        rows = rows.where(not_later(ts, end))
     u = micros(ts)
     first, last = u + F.pmod(-u, F.lit(step)), u + (window - 1) - F.pmod(u + (window - 1), F.lit(step))
     if window == step and start is None and end is None:  # one point each
@@ -29,12 +33,12 @@ def on_grid(rows: DataFrame, ts: str, step: int, window: int, start: int | None
 
 def count_over_time(rows: DataFrame, ts: str, step: int, window: int, by: list[str]) -> DataFrame:
     """``(t, *by, n)``; series without rows have none."""
-    return on_grid(rows, ts, step, window).groupBy("t", *by).agg(F.count(F.lit(1)).alias("n"))
+    return on_grid(labelled(rows, by), ts, step, window).groupBy("t", *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def total(vector: DataFrame, value: str, by: list[str], name: str = "value") -> DataFrame:
     """Sum by labels; of an empty vector, empty even without labels."""
-    return vector.groupBy(*by, *([] if by else [F.lit(1).alias("_all")])).agg(F.sum(value).alias(name)).select(*by, name)
+    return labelled(vector, by).groupBy(*by, *([] if by else [F.lit(1).alias("_all")])).agg(F.sum(value).alias(name)).select(*by, name)
 
 
 def top(vector: DataFrame, value: str, k: int, ties: list[str], per: list[str] | None = None) -> DataFrame:
@@ -47,7 +51,7 @@ def top(vector: DataFrame, value: str, k: int, ties: list[str], per: list[str] |
 
 def increase(samples: DataFrame, by: list[str], ts: str, value: str, at: int, window: int) -> DataFrame:
     """``(*by, increase, n)``: what a counter rose by in the range; a fall is a reset to zero. One sample gives none."""
-    ranged = samples.where(in_range(ts, at, window))
+    ranged = labelled(samples, by).where(in_range(ts, at, window))
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts))
     step = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     return ranged.withColumn("_step", step).groupBy(*by).agg(F.sum("_step").alias("increase"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -55,7 +59,7 @@ def increase(samples: DataFrame, by: list[str], ts: str, value: str, at: int, wi
 
 def extrapolated(samples: DataFrame, by: list[str], ts: str, value: str, at: int, window: int) -> DataFrame:
     """``(*by, increase)`` carried on to the range's ends as far as half a mean step, or to zero if that is nearer."""
-    ranged = samples.where(in_range(ts, at, window)).withColumn("_u", micros(ts))
+    ranged = labelled(samples, by).where(in_range(ts, at, window)).withColumn("_u", micros(ts))
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(ts))
     step = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     found = ranged.withColumn("_step", step).groupBy(*by).agg(F.sum("_step").alias("d"), F.min("_u").alias("a"), F.max("_u").alias("b"), F.min_by(value, "_u").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -68,7 +72,7 @@ def extrapolated(samples: DataFrame, by: list[str], ts: str, value: str, at: int
 
 
 def _once(vector: DataFrame, on: list[str], name: str) -> DataFrame:
-    found = vector.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first("value").alias(name))
+    found = labelled(vector, on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first("value").alias(name))
     return found.select(*on, F.when(F.col("_n") > 1, F.raise_error(F.lit("a series comes more than once on one side")).cast(found.schema[name].dataType)).otherwise(F.col(name)).alias(name))
 
 
@@ -85,7 +89,7 @@ def auto_step(rows: DataFrame, ts: str, points: int, least: int) -> int:
 
 def ratio(a: DataFrame, b: DataFrame, on: list[str], name: str = "value") -> DataFrame:
     """``a / b`` of series with the same labels, which each side must have once, or it raises; a zero divisor gives null."""
-    both = _once(a, on, "_a").join(_once(b, on, "_b"), on)
+    both = matched(_once(a, on, "_a"), _once(b, on, "_b"), on)
     return both.select(*on, F.try_divide("_a", "_b").alias(name))
 
 
@@ -93,14 +97,14 @@ def added(vectors: list[DataFrame], on: list[str]) -> DataFrame:
     """The sum of vectors, each of which must have a series once, or it raises; series that any of them lacks drop out."""
     out = _once(vectors[0], on, "_0")
     for i, v in enumerate(vectors[1:], 1):
-        out = out.join(_once(v, on, f"_{i}"), on)
+        out = matched(out, _once(v, on, f"_{i}"), on)
     return out.select(*on, sum((F.col(f"_{i}") for i in range(1, len(vectors))), F.col("_0")).alias("value"))
 
 
 def otherwise(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """``a or b``: all of a, and the series of b that a lacks; without labels b counts only if a is empty."""
     if on:
-        return a.unionByName(b.join(a, on, "left_anti"))
+        return labelled(a, on).unionByName(matched(b, a.select(*on), on, "left_anti"))
     return a.unionByName(b.join(a.select(F.lit(1).alias("_x")).limit(1), F.lit(True), "left_anti"))
 
 
@@ -110,15 +114,23 @@ def absent(vector: DataFrame) -> DataFrame:
 
 
 def histogram_quantile(q: float, buckets: DataFrame, by: list[str], bound: str = "le", value: str = "value") -> DataFrame:
-    """``(*by, value)``: the quantile of cumulative buckets, linear within its bucket; the lowest starts at 0, and the
-    one above all finite bounds gives the highest finite bound. Counts that fall are raised to those below."""
+    """``(*by, value)``: the quantile of cumulative buckets, linear within its bucket. Counts that fall are raised to those below.
+
+    The lowest bucket starts at 0 if its bound is above that, else it gives its bound; the one above all finite bounds
+    gives the highest finite bound. Series without a ``+Inf`` bucket or without counts have none. A quantile below 0 or
+    above 1 is minus or plus infinity.
+    """
     le = F.when(F.col(bound).isin("+Inf", "Inf"), F.lit(float("inf"))).otherwise(F.col(bound).try_cast("double"))
-    one = buckets.select(*by, le.alias("_le"), F.col(value).cast("double").alias("_c")).groupBy(*by, "_le").agg(F.sum("_c").alias("_c"))
+    one = labelled(buckets, by).select(*by, le.alias("_le"), F.col(value).cast("double").alias("_c")).where("_le is not null").groupBy(*by, "_le").agg(F.sum("_c").alias("_c"))
     w = Window.partitionBy(*by, *([] if by else [F.lit(1)])).orderBy("_le")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     one = one.withColumn("_c", F.max("_c").over(w))
-    one = one.select("*", F.lag("_c", 1, 0.0).over(w).alias("_c0"), F.lag("_le", 1, 0.0).over(w).alias("_le0"), (F.max("_c").over(whole) * q).alias("_rank"), F.max("_le").over(whole).alias("_top"))
-    hit = one.where((F.col("_c") >= F.col("_rank")) & (F.col("_top") == float("inf")) & (F.col("_rank") > 0))
-    inside = F.col("_le0") + (F.col("_le") - F.col("_le0")) * F.try_divide(F.col("_rank") - F.col("_c0"), F.col("_c") - F.col("_c0"))
-    hit = hit.withColumn("value", F.when(F.col("_le") == float("inf"), F.col("_le0")).otherwise(inside))
+    one = one.select("*", F.lag("_c", 1, 0.0).over(w).alias("_c0"), F.lag("_le").over(w).alias("_le0"), F.max("_c").over(whole).alias("_all"), F.max("_le").over(whole).alias("_top"))
+    hit = one.where((F.col("_top") == float("inf")) & (F.col("_all") > 0) & (F.col("_c") >= F.col("_all") * min(max(q, 0.0), 1.0)))
+    low = F.coalesce("_le0", F.lit(0.0))
+    inside = low + (F.col("_le") - low) * F.coalesce(F.try_divide(F.col("_all") * q - F.col("_c0"), F.col("_c") - F.col("_c0")), F.lit(0.0))
+    found = F.when(F.col("_le") == float("inf"), F.col("_le0")).when(F.col("_le0").isNull() & (F.col("_le") <= 0), F.col("_le")).otherwise(inside)
+    if not 0 <= q <= 1:
+        found = F.lit(float("-inf") if q < 0 else float("inf"))
+    hit = hit.withColumn("value", found)
     return hit.groupBy(*by, *([] if by else [F.lit(1).alias("_all")])).agg(F.min_by("value", "_le").alias("value")).select(*by, "value")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import labels as L
 from tidegauge.functions import lines as P
 from tidegauge.operators import alerts as A
+from tidegauge.operators import panes as N
 from tidegauge.operators import tables as J
 from tidegauge.operators import vectors as V
 from tidegauge.sources.tables import table
@@ -106,8 +107,16 @@ def topk_per_point(spark, d):
 
 @query(f"SELECT t, event_type, count(*) AS n FROM events, (SELECT unnest(range({START}, {AT + 1}, {HOUR})) AS t) WHERE {_U} > t - {6 * HOUR} AND {_U} <= t GROUP BY ALL")
 def grid_overlap(spark, d):
-    rows = V.on_grid(table(spark, d, "events"), "ts", HOUR, 6 * HOUR, START, AT)
-    return rows.groupBy("t", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Each window from pane sums; see grid_extremes for sums and extremes."""
+    return N.over_windows(table(spark, d, "events"), "ts", None, HOUR, 6 * HOUR, START, AT, BY)
+
+
+@query(f"""SELECT t, event_type, count(*) AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM events, (SELECT unnest(range({START}, {AT + 1}, {2 * HOUR})) AS t)
+WHERE {_U} > t - {5 * HOUR} AND {_U} <= t GROUP BY ALL""")
+def grid_extremes(spark, d):
+    """A window that is no multiple of the step."""
+    out = N.over_windows(table(spark, d, "events"), "ts", "value", 2 * HOUR, 5 * HOUR, START, AT, BY)
+    return out.select("t", "event_type", "n", F.round("sum", 4).alias("sum"), "min", "max")
 
 
 # ---- rules -----------------------------------------------------------------------------------------------------
@@ -274,6 +283,28 @@ def counter_rate_by(spark, d):
     return V.total(rates, "r", BY).select("event_type", F.round("value", 6).alias("value"))
 
 
+_GRID = f"""WITH e AS (SELECT event_type, epoch_us(ts) AS u, value FROM events), g AS (SELECT unnest(range({START + DAY}, {AT + 1}, {12 * HOUR})) AS t),
+w AS (SELECT t, event_type, u, value, CASE WHEN value < lag(value) OVER x THEN value ELSE value - lag(value) OVER x END AS step FROM e, g WHERE u > t - {DAY} AND u <= t WINDOW x AS (PARTITION BY t, event_type ORDER BY u, value)),
+f AS (SELECT t, event_type, sum(step) AS d, min(u) AS a, max(u) AS b, arg_min(value, u) AS v, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 1),
+h AS (SELECT *, (b - a)::DOUBLE AS span, (b - a) / (n - 1)::DOUBLE AS mean FROM f),
+k AS (SELECT *, CASE WHEN a - (t - {DAY}) < mean * 1.1 THEN a - (t - {DAY}) ELSE mean / 2 END AS l, CASE WHEN t - b < mean * 1.1 THEN t - b ELSE mean / 2 END AS r FROM h)"""
+
+
+@query(f"{_GRID} SELECT t, event_type, round(d, 4) AS increase, round(d / 86400, 6) AS rate, n FROM k")
+def counter_rate_grid(spark, d):
+    """``rate`` and ``increase`` as a range query: each day's window, every twelve hours."""
+    out = N.rate_on_grid(table(spark, d, "events"), "ts", "value", 12 * HOUR, DAY, START + DAY, AT, BY)
+    return out.select("t", "event_type", F.round("increase", 4).alias("increase"), F.round("rate", 6).alias("rate"), "n")
+
+
+@query(f"{_GRID} SELECT t, event_type, round(d * (span + CASE WHEN d > 0 AND v >= 0 THEN least(l, span * v / d) ELSE l END + r) / span, 3) AS increase FROM k")
+def counter_rate_grid_extrapolated(spark, d):
+    """From panes of one hour that were joined to twelve hours."""
+    fine = N.counter_panes(N.ranged(table(spark, d, "events"), "ts", DAY, START + DAY, AT), "ts", "value", HOUR, BY)
+    out = N.counters_on_grid(N.coarser(fine, 12 * HOUR, BY), 12 * HOUR, DAY, START + DAY, AT, BY)
+    return out.select("t", "event_type", F.round("extrapolated", 3).alias("increase"))
+
+
 def _sums(spark, d, i):
     return table(spark, d, "events").where(F.col("user_id") % 3 == i).groupBy("event_type").agg(F.sum("value").alias("value"))
 
