@@ -1,4 +1,4 @@
-"""Registered queries that run as streams over ``events`` and end; the SQL of each is that of its batch form."""
+"""Registered queries that run as streams over ``events`` and end, or in several runs over what they keep; the SQL is of one pass."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.labels import micros
 from tidegauge.operators import alerts as A
+from tidegauge.operators import history as H
+from tidegauge.operators import recording as M
+from tidegauge.operators import vectors as V
 from tidegauge.plans.catalogue import AT, BY, DAY, HOUR, ORACLES, START, query
 from tidegauge.plans.catalogue import _BEATS as BEATS
 from tidegauge.sources.shared import shared_folder
@@ -67,3 +70,41 @@ def late_and_resent(spark, d):
     lost = I.unkept(spark.read.schema(events.schema).parquet(sent), stored, ["event_id"]).join(events, "event_id")
     counts = stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"), F.lit(0).alias("late"), F.lit(0).alias("resent")).unionByName(lost.groupBy("event_type").agg(F.lit(0).alias("kept"), F.sum("late").alias("late"), F.sum("resent").alias("resent")))
     return counts.groupBy("event_type").agg(*[F.sum(c).alias(c) for c in ("kept", "late", "resent")])
+
+
+_RULES = [
+    M.Recorded("type:lines:count", "events", BY),
+    M.Recorded("type:errors:count", "events", BY, where="value > 100"),
+    M.Recorded("all:value:max", "events", [], "max"),
+    M.Quotient("type:errors:ratio", "type:errors:count", "type:lines:count"),
+    M.Recorded("all:lines:sum", "type:lines:count", [], "sum"),
+]
+
+
+@query(f"""WITH e AS (SELECT event_type, value, ceil(epoch_us(ts) / {6 * HOUR})::BIGINT * {6 * HOUR} AS t FROM events),
+c AS (SELECT t, event_type, count(*) AS n, count(*) FILTER (value > 100) AS k, max(value) AS m FROM e GROUP BY ALL)
+SELECT 'type:errors:ratio' AS rule, event_type AS labels, t, round(k / n, 9) AS value FROM c WHERE k > 0 UNION ALL SELECT 'all:lines:sum', '', t, sum(n) FROM c GROUP BY t
+UNION ALL SELECT 'all:value:max', '', t, max(m) FROM c GROUP BY t""")
+def recorded_series(spark, d):
+    """Rules of two levels, recorded in two runs: up to a time within a slot, then to the end."""
+    folder = shared_folder(spark, "recorded")
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    for upto in (START + 11 * DAY + 7 * HOUR, AT):
+        M.record(spark, {"events": (rows, "ts")}, _RULES, folder, 6 * HOUR, DAY, START, upto)
+    wanted = M.read(spark, folder).where(F.col("rule").isin("type:errors:ratio", "all:lines:sum", "all:value:max"))
+    return wanted.select("rule", F.array_join("labels.value", ",").alias("labels"), "t", F.round("value", 9).alias("value"))
+
+
+@query(f"""WITH s AS ({ORACLES['alert_hold_states']}), i AS (SELECT event_type, t, t - {HOUR} * row_number() OVER (PARTITION BY event_type ORDER BY t) AS island FROM s WHERE state = 'firing')
+SELECT event_type, min(t) AS starts_at, max(t) + {HOUR} AS ends_at, max(t) + {HOUR} > {AT} AS open FROM i GROUP BY event_type, island""")
+def alert_history(spark, d):
+    """Three evaluations, each merged into what the one before left open."""
+    rule = A.Rule("Burst", over=1, hold=2 * HOUR)
+    counts = V.count_over_time(spark.read.parquet(f"{d}/events.parquet"), "ts", HOUR, HOUR, BY).withColumnRenamed("n", "value")
+    history = H.History(spark, shared_folder(spark, "history"), BY, "event_type string")
+    before = None
+    for at in (START + 9 * DAY, START + 20 * DAY + 5 * HOUR, AT):
+        since = START if before is None else before - rule.hold  # enough to know for how long the points after it have held
+        history.merge(A.states(counts, rule, HOUR, since, at, BY), HOUR, before, at)
+        before = at
+    return history.intervals(AT)
