@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.labels import micros
 from tidegauge.operators import alerts as A
 from tidegauge.operators import history as H
+from tidegauge.operators import limits as X
 from tidegauge.operators import recording as M
 from tidegauge.operators import vectors as V
 from tidegauge.plans.catalogue import AT, BY, DAY, HOUR, ORACLES, START, query
@@ -108,3 +109,15 @@ def alert_history(spark, d):
         history.merge(A.states(counts, rule, HOUR, since, at, BY), HOUR, before, at)
         before = at
     return history.intervals(AT)
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_type, event_id, epoch_us(ts) AS u, length(props) * 200000000 AS need, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS r FROM events),
+b AS (SELECT event_type, event_id, u, r, 4000000000 - CASE WHEN need <= 4000000000 THEN need ELSE 0 END AS level, need <= 4000000000 AS accepted FROM e WHERE r = 1
+UNION ALL SELECT event_type, event_id, u, r, l - CASE WHEN need <= l THEN need ELSE 0 END, need <= l
+FROM (SELECT e.*, least(b.level + e.u - b.u, 4000000000) AS l FROM b JOIN e ON e.event_type = b.event_type AND e.r = b.r + 1))
+SELECT event_type, event_id, accepted FROM b""")
+def ingest_limit(spark, d):
+    """Each event type may send 4000 bytes at once and then one byte a second; a line counts 200 times."""
+    size = (F.char_length("props") * 200).alias("size")
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_type", micros("ts").alias("at"), "event_id", size)
+    return X.within_limit(rows, "event_type", "at", ["event_id"], "size", 1, 4000, 6 * HOUR).select("event_type", "event_id", "accepted")
