@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions.lines import cri, pod_path
 
 SNAPSHOT = "ns string, name string, restarts int, minutes_ago double"
+#: The list of container states of a pod object.
+CONTAINERS = "array<struct<name:string,restartCount:int,ready:boolean,lastState:struct<terminated:struct<reason:string,finishedAt:string>>>>"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,12 +17,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """``ns|name|restarts|minutes_ago`` lines; malformed ones are dropped."""
-    return spark.read.schema(SNAPSHOT).option("sep", "|").option("mode", "DROPMALFORMED").csv(path)
+    """``ns|name|restarts|minutes_ago`` lines; malformed ones are dropped, whichever columns are read: those of another number of
+    fields, and those whose numbers are none. Lines are split as text, as the CSV reader would only look at the columns asked for."""
+    parts = spark.read.text(path).select(F.split("value", r"\|", -1).alias("p")).where(F.size("p") == 4)
+    rows = parts.select(F.col("p")[0].alias("ns"), F.col("p")[1].alias("name"), F.col("p")[2].try_cast("int").alias("restarts"), F.col("p")[3].try_cast("double").alias("minutes_ago"))
+    return rows.where("restarts is not null and minutes_ago is not null")
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "|").csv(path)
+    """The lines that ``snapshot`` reads; a bar or line end in a name, which they can't hold, raises."""
+    bad = F.col("ns").rlike(r"[|\n\r]") | F.col("name").rlike(r"[|\n\r]")
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("ns", "name", "restarts", "minutes_ago")])
+    df.select(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("a name holds a bar or a line end"))).otherwise(line).alias("value")).write.mode("overwrite").text(path)
 
 
 def pod_lines(raw: DataFrame, node: str | None = None) -> DataFrame:
