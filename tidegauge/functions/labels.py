@@ -142,3 +142,26 @@ def template(text: str, values: dict[str, Column]) -> Column:
         name, _, rest = rest.partition("}}")
         parts += [F.lit(before), values[name.strip()].cast("string")]
     return F.concat(*parts, F.lit(rest))
+
+
+def percent_encoded(text: str | Column) -> Column:
+    """A text as part of a query: all bytes but letters, digits and ``-_.~`` as ``%XX``."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def without(entries: Column, names: list[str], prefixes: list[str] | None = None) -> Column:
+    """A map without the keys of these names, or with these prefixes."""
+    def goes(k: Column) -> Column:
+        return reduce(lambda x, y: x | y, (k.startswith(p) for p in prefixes or []), k.isin(names) if names else F.lit(False))
+
+    return F.map_filter(entries, lambda k, _: ~goes(k))
+
+
+def clock(ns: str | Column) -> Column:
+    """``HH:mm:ss.SSS`` in UTC of nanoseconds since the epoch, without the session's zone."""
+    c = F.col(ns) if isinstance(ns, str) else ns
+    of_day = F.pmod(c, F.lit(86_400_000_000_000))
+    ms = ((of_day - of_day % 1_000_000) / 1_000_000).cast("long")
+    part = lambda unit, most, width: F.lpad((F.floor(ms / unit) % most).cast("string"), width, "0")
+    return F.concat(part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3))

@@ -50,3 +50,21 @@ def image_name(image: Column, registry: str, project: str) -> Column:
 def yaml_scalar(text: Column) -> Column:
     """A scalar in single quotes if it needs them."""
     return F.when(text.rlike(r"[ :#{}\[\],&*!|>'\"%@`]") | (text == ""), F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(text)
+
+
+def found(line: Column, pattern: str) -> Column:
+    """All that a pattern finds first, whichever of its alternatives and groups; empty if it finds nothing."""
+    return F.regexp_extract(line, pattern, 0)
+
+
+def nth(line: Column, n: int) -> Column:
+    """The n-th field between blanks and tabs, from 1, as column-wise text tools count; empty if there are fewer."""
+    return F.coalesce(F.get(F.filter(F.split(line, r"[ \t]+"), lambda x: x != ""), F.lit(n - 1)), F.lit(""))
+
+
+def port_text(port: Column, node: Column | None = None, to: Column | None = None, protocol: str = "TCP") -> Column:
+    """``port[:node][->to]/protocol``: a port with its node port or target."""
+    parts = [port.cast("string")]
+    parts += [F.concat(F.lit(":"), node.cast("string"))] if node is not None else []
+    parts += [F.concat(F.lit("->"), to.cast("string"))] if to is not None else []
+    return F.concat(*parts, F.lit(f"/{protocol}"))

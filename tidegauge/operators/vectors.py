@@ -108,6 +108,11 @@ def otherwise(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.unionByName(b.join(a.select(F.lit(1).alias("_x")).limit(1), F.lit(True), "left_anti"))
 
 
+def last_known(value: Column, at: Column) -> Column:
+    """An aggregate: the last value by ``at`` that isn't null."""
+    return F.max_by(value, F.when(value.isNotNull(), at))
+
+
 def absent(vector: DataFrame) -> DataFrame:
     """One row of value 1 if the vector is empty."""
     return vector.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(1).alias("value"))
