@@ -150,14 +150,6 @@ def percent_encoded(text: str | Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def without(entries: Column, names: list[str], prefixes: list[str] | None = None) -> Column:
-    """A map without the keys of these names, or with these prefixes."""
-    def goes(k: Column) -> Column:
-        return reduce(lambda x, y: x | y, (k.startswith(p) for p in prefixes or []), k.isin(names) if names else F.lit(False))
-
-    return F.map_filter(entries, lambda k, _: ~goes(k))
-
-
 def clock(ns: str | Column) -> Column:
     """``HH:mm:ss.SSS`` in UTC of nanoseconds since the epoch, without the session's zone."""
     c = F.col(ns) if isinstance(ns, str) else ns

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 #: The order of the replacements matters.
 MASKS = [(r"0x[0-9a-fA-F]+", "X"), (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "IP"), (r"[0-9.]{5,}", "N")]
-_CRI = r"^(\S+) (stdout|stderr) ([FP]) (.*)$"
-_POD = r"/var/log/pods/([^_/]+)_([^_/]+)_([^/]+)/([^/]+)/[^/]+\.log$"
+_POD = r"/var/log/pods/([^/]+/[^/]+)/[^/]+\.log$"
 
 
 def capture(line: Column, pattern: str, otherwise: Column | None = None) -> Column:
@@ -29,15 +28,23 @@ def fingerprint(line: Column, pattern: str, width: int = 70) -> Column:
 
 
 def cri(raw: Column) -> Column:
-    """``time, stream, flag, message`` of a container runtime's line; null if it is none."""
-    part = lambda i: F.regexp_extract(raw, _CRI, i)
-    return F.when(raw.rlike(_CRI), F.struct(part(1).alias("time"), part(2).alias("stream"), part(3).alias("flag"), part(4).alias("message")))
+    """``time, stream, flag, message`` of a container runtime's line; null if it is none. The line is split once."""
+    def parsed(p: Column) -> Column:
+        good = (F.size(p) == 4) & (p[0] != "") & p[1].isin("stdout", "stderr") & p[2].isin("F", "P")
+        return F.when(good, F.struct(p[0].alias("time"), p[1].alias("stream"), p[2].alias("flag"), p[3].alias("message")))
+
+    return F.transform(F.array(F.split(raw, " ", 4)), parsed)[0]
 
 
 def pod_path(path: Column) -> Column:
     """``namespace, pod, uid, container`` of a pod log's path; null if it is none."""
-    part = lambda i: F.regexp_extract(path, _POD, i)
-    return F.when(path.rlike(_POD), F.struct(part(1).alias("namespace"), part(2).alias("pod"), part(3).alias("uid"), part(4).alias("container")))
+    def parsed(p: Column) -> Column:
+        good = (F.size(p) == 4) & ~F.exists(p, lambda x: x == "")
+        return F.when(good, F.struct(p[0].alias("namespace"), p[1].alias("pod"), p[2].alias("uid"), p[3].alias("container")))
+
+    # ns_pod_uid/container: the uid may hold underscores
+    both = F.split(F.regexp_extract(path, _POD, 1), "/")
+    return F.transform(F.array(F.concat(F.split(both[0], "_", 3), F.slice(both, 2, 1))), parsed)[0]
 
 
 def image_name(image: Column, registry: str, project: str) -> Column:
@@ -62,9 +69,33 @@ def nth(line: Column, n: int) -> Column:
     return F.coalesce(F.get(F.filter(F.split(line, r"[ \t]+"), lambda x: x != ""), F.lit(n - 1)), F.lit(""))
 
 
-def port_text(port: Column, node: Column | None = None, to: Column | None = None, protocol: str = "TCP") -> Column:
-    """``port[:node][->to]/protocol``: a port with its node port or target."""
-    parts = [port.cast("string")]
-    parts += [F.concat(F.lit(":"), node.cast("string"))] if node is not None else []
-    parts += [F.concat(F.lit("->"), to.cast("string"))] if to is not None else []
-    return F.concat(*parts, F.lit(f"/{protocol}"))
+def port_bindings(bindings: Column) -> Column:
+    """``host:container[/protocol]`` of a map from ``port/protocol`` to a list of ``{HostPort}``, sorted, each once; tcp isn't named.
+    Ports that no host port leads to are left out."""
+
+    def one(e: Column) -> Column:
+        protocol = F.when(F.contains(e["key"], F.lit("/")), F.substring_index(e["key"], "/", -1)).otherwise("tcp")
+        end = F.concat(F.lit(":"), F.substring_index(e["key"], "/", 1), F.when(protocol == "tcp", "").otherwise(F.concat(F.lit("/"), protocol)))
+        hosts = F.filter(F.transform(e["value"], lambda b: b["HostPort"]), lambda h: F.coalesce(h, F.lit("")) != "")
+        return F.transform(F.coalesce(hosts, F.array().cast("array<string>")), lambda h: F.concat(h, end))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_entries(bindings), one))))
+
+
+def variables(env: Column, without: list[str]) -> Column:
+    """The ``name=value`` entries of a list but those of these names, sorted; none of a null list."""
+    kept = F.filter(env, lambda e: ~F.substring_index(e, "=", 1).isin(without))
+    return F.array_sort(F.coalesce(kept, F.array().cast("array<string>")))
+
+
+def images(manifest: Column) -> Column:
+    """The image names in a rendered manifest, without quotes; those that begin with ``$`` are templates and left out."""
+    named = F.transform(F.regexp_extract_all(manifest, F.lit(r"image: ([^ \n]+)"), 1), lambda x: F.replace(x, F.lit('"'), F.lit("")))
+    return F.filter(named, lambda x: (x != "") & ~x.startswith("$"))
+
+
+def error_key(line: Column) -> Column:
+    """What a resolver's error line is counted under: the name after the number of errors, else ``.`` for the root's lines, else the
+    line's beginning; long numbers masked."""
+    key = capture(line, r"errors: \d+ ([^:]{0,40}):", F.when(F.contains(line, F.lit(". NS:")), ".").otherwise(F.substring(line, 1, 50)))
+    return F.regexp_replace(key, r"[\d.]{5,}", "N")

@@ -297,12 +297,12 @@ def counter_rate_grid(spark, d):
     return out.select("t", "event_type", F.round("increase", 4).alias("increase"), F.round("rate", 6).alias("rate"), "n")
 
 
-@query(f"{_GRID} SELECT t, event_type, round(d * (span + CASE WHEN d > 0 AND v >= 0 THEN least(l, span * v / d) ELSE l END + r) / span, 3) AS increase FROM k")
+@query(f"{_GRID} SELECT t, event_type, round(d * (span + CASE WHEN d > 0 AND v >= 0 THEN least(l, span * v / d) ELSE l END + r) / span, 6) AS increase FROM k")
 def counter_rate_grid_extrapolated(spark, d):
     """From panes of one hour that were joined to twelve hours."""
     fine = N.counter_panes(N.ranged(table(spark, d, "events"), "ts", DAY, START + DAY, AT), "ts", "value", HOUR, BY)
     out = N.counters_on_grid(N.coarser(fine, 12 * HOUR, BY), 12 * HOUR, DAY, START + DAY, AT, BY)
-    return out.select("t", "event_type", F.round("extrapolated", 3).alias("increase"))
+    return out.select("t", "event_type", F.round("extrapolated", 6).alias("increase"))
 
 
 def _sums(spark, d, i):

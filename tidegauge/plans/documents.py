@@ -106,12 +106,14 @@ def encoded_values(spark, d):
     return table(spark, d, "pages").where(url.isNotNull()).select("page_id", P.found(url, "(error|warn|page)s?/?([0-9]*)").alias("whole"), L.percent_encoded(url).alias("encoded"), F.base64(url.cast("binary")).alias("coded"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_nationkey % 4 = 0 THEN s_nationkey || '/TCP' WHEN s_nationkey % 4 = 1 THEN s_nationkey || ':' || s_suppkey || '/UDP' ELSE s_suppkey || '->' || s_nationkey || '/TCP' END AS ports FROM supplier")
+@query("""SELECT l_orderkey AS pod, string_agg(p, ',' ORDER BY p) AS ports FROM (SELECT DISTINCT l_orderkey, (8000 + l_suppkey % 50) || ':' || l_partkey % 90 || CASE WHEN l_returnflag = 'R' THEN '/udp' ELSE '' END AS p
+FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1""")
 def port_texts(spark, d):
-    port, target = F.col("s_nationkey"), F.col("s_suppkey")
-    kind = F.col("s_nationkey") % 4
-    text = F.when(kind == 0, P.port_text(port)).when(kind == 1, P.port_text(port, node=target, protocol="UDP")).otherwise(P.port_text(target, to=port))
-    return table(spark, d, "supplier").select("s_suppkey", text.alias("ports"))
+    key = F.concat((F.col("l_partkey") % 90).cast("string"), F.when(F.col("l_returnflag") == "R", "/udp").when(F.col("l_returnflag") == "A", "/tcp").otherwise(""))
+    bound = F.struct(F.when(F.col("l_linestatus") == "O", (8000 + F.col("l_suppkey") % 50).cast("string")).alias("HostPort"))
+    binds = table(spark, d, "lineitem").groupBy("l_orderkey", key.alias("key")).agg(F.collect_list(bound).alias("value"))
+    pods = binds.groupBy(F.col("l_orderkey").alias("pod")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("bindings"))
+    return pods.select("pod", F.array_join(P.port_bindings(F.col("bindings")), ",").alias("ports")).where("ports <> ''")
 
 
 @query("SELECT o_custkey, max(o_orderkey) FILTER (o_orderstatus = 'F') AS last_f, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ROLLUP (o_custkey)")
@@ -121,11 +123,97 @@ def last_known_and_total(spark, d):
     return table(spark, d, "orders").rollup("o_custkey").agg(V.last_known(known, F.col("o_orderkey")).alias("last_f"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT p_partkey, 'brand=' || p_brand || ',type=' || p_type AS kept FROM part")
+@query("SELECT p_partkey, 'A=' || p_brand || ',B=x=' || p_type AS kept FROM part")
 def env_blocklist(spark, d):
-    """Variables without those on a list of names and prefixes."""
-    env = F.create_map(F.lit("brand"), "p_brand", F.lit("PATH"), F.lit("x"), F.lit("type"), "p_type", F.lit("KUBERNETES_PORT"), F.lit("y"), F.lit("HOSTNAME"), "p_name")
-    return table(spark, d, "part").select("p_partkey", L.series_key(L.without(env, ["PATH", "HOSTNAME"], ["KUBERNETES_"])).alias("kept"))
+    env = F.array(*[F.concat(F.lit(k), c) for k, c in (("PATH=", "p_name"), ("B=x=", "p_type"), ("HOSTNAME=", "p_name"), ("A=", "p_brand"))], F.lit("TERM"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(P.variables(env, ["PATH", "HOSTNAME", "HOME", "TERM"]), ",").alias("kept"))
+
+
+@query("SELECT DISTINCT 'hub/' || replace(p_name, ' ', '-') AS image FROM part")
+def manifest_images(spark, d):
+    """Image names scraped from rendered manifests."""
+    text = F.concat(F.lit('kind: Pod\n  - image: "hub/'), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit('"\n    name: x\n  - image: $IMAGE\n'))
+    return table(spark, d, "part").select(F.explode(P.images(text)).alias("image")).distinct()
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY user_id, event_type)
+SELECT user_id, 'totalSeries' AS what, 0 AS place, NULL AS name, sum(n)::BIGINT AS value FROM c GROUP BY 1 UNION ALL SELECT user_id, 'seriesCountByMetricName', r, event_type, n FROM c WHERE r <= 3""")
+def store_status(spark, d):
+    """A status document for each user, with its totals and the longest of its lists."""
+    counts = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("event_type").alias("name"), F.col("n").alias("value"))))
+    docs = counts.groupBy("user_id").agg(entry.alias("e"), F.sum("n").alias("totalSeries"))
+    names = F.transform("e", lambda x: F.struct(x["name"], x["value"])).alias("seriesCountByMetricName")
+    return D.store_status(docs.select("user_id", F.try_parse_json(F.to_json(F.struct(F.struct("totalSeries", names).alias("data")))).alias("doc")), ["user_id"])
+
+
+@query("SELECT l_orderkey::TEXT AS pod, 'img' || l_suppkey AS image FROM lineitem WHERE l_returnflag <> 'A' AND l_partkey % 100 = 7")
+def pods_on_host_port(spark, d):
+    ports = F.when(F.col("l_returnflag") != "A", F.array(F.struct((F.col("l_partkey") % 100).alias("hostPort"))))
+    container = F.struct(F.concat(F.lit("img"), F.col("l_suppkey").cast("string")).alias("image"), ports.alias("ports"))
+    pods = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(container).alias("containers"))
+    docs = pods.select(F.try_parse_json(F.to_json(F.struct(F.struct(F.col("l_orderkey").cast("string").alias("name")).alias("metadata"), F.struct("containers").alias("spec")))).alias("doc"))
+    return D.host_ports(docs).where("host_port = 7").select("pod", "image")
+
+
+@query("SELECT o_custkey, count(*)::INT AS rules FROM orders GROUP BY 1")
+def rules_in_groups(spark, d):
+    """The lengths of all groups' rule lists in each object."""
+    groups = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.collect_list("o_orderkey").alias("rules"))
+    docs = groups.groupBy("o_custkey").agg(F.collect_list(F.struct("rules")).alias("groups"))
+    return docs.select("o_custkey", D.rule_count(F.try_parse_json(F.to_json(F.struct(F.struct("groups").alias("spec"))))).alias("rules"))
+
+
+@query("SELECT CASE WHEN p_size % 3 = 0 THEN p_brand || ' N' WHEN p_size % 3 = 1 THEN '.' ELSE left('plain text of ' || p_name || ' and then some more that is cut off', 50) END AS key, count(*) AS n FROM part GROUP BY 1")
+def error_keys(spark, d):
+    """A name from the line, else a mark, else the line's beginning."""
+    line = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("errors: 2 "), "p_brand", F.lit(" 123456: x"))).when(F.col("p_size") % 3 == 1, F.lit("lookup of . NS: failed")).otherwise(F.concat(F.lit("plain text of "), "p_name", F.lit(" and then some more that is cut off")))
+    return table(spark, d, "part").select(P.error_key(line).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS starts_at FROM orders ORDER BY 1 DESC, 2 DESC, 3 DESC LIMIT 100")
+def tuples_descending(spark, d):
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("starts_at"))
+    return rows.orderBy(F.desc("o_orderpriority"), F.desc("o_orderstatus"), F.desc("o_orderkey")).limit(100)
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS starts_at FROM orders ORDER BY 2 DESC, 1 LIMIT 50")
+def latest_by_time_text(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("starts_at"))
+    return V.top(rows, "starts_at", 50, ["o_orderkey"])
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, round(sum(l_quantity), 2) AS value FROM lineitem GROUP BY ALL")
+def sum_by_three(spark, d):
+    by = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    return V.total(table(spark, d, "lineitem"), "l_quantity", by).withColumn("value", F.round("value", 2))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '#(.*)$', 1), ''), '-') AS mark, coalesce(try_cast(regexp_extract(url, '([0-9]+)$', 1) AS DOUBLE), 0.0) AS number, length(html) // 3600 || 'h' AS age,
+regexp_replace(url, '/(en|de)/', '/[\1]/', 'g') AS rewritten, replace(url, '://', ':') AS plain, CASE WHEN length(html) % 2 = 0 THEN (length(html) // 2)::TEXT ELSE (length(html) // 2) || '.5' END AS half FROM pages""")
+def value_texts(spark, d):
+    """Defaults, numbers, whole numbers, back-references and literal replacement."""
+    url, size = F.col("url"), F.char_length("html").cast("long")
+    hours = F.floor(size * L.duration("1s") / L.duration("1h")).cast("string")
+    return table(spark, d, "pages").select(
+        "page_id", L.default(F.regexp_extract(url, "#(.*)$", 1), "-").alias("mark"), L.number(F.regexp_extract(url, "([0-9]+)$", 1)).alias("number"), F.concat(hours, F.lit("h")).alias("age"),
+        F.regexp_replace(url, "/(en|de)/", "/[$1]/").alias("rewritten"), F.replace(url, F.lit("://"), F.lit(":")).alias("plain"), L.whole(size / 2).alias("half"),
+    )
+
+
+@query("SELECT p_partkey, 'app=' || p_brand || ',size=' || p_size || ',type=' || p_type AS labels, '''' || p_name || ': it''''s''' AS scalar FROM part")
+def merged_labels(spark, d):
+    """Static labels under a row's own, and scalars in quotes."""
+    static = F.create_map(F.lit("app"), F.lit("none"), F.lit("type"), "p_type")
+    own = F.create_map(F.lit("app"), "p_brand", F.lit("size"), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select("p_partkey", L.series_key(L.merged(static, own)).alias("labels"), P.yaml_scalar(F.concat("p_name", F.lit(": it's"))).alias("scalar"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(coalesce(sum(l_extendedprice) FILTER (l_discount > 0.05), 0) / nullif(coalesce(sum(l_quantity) FILTER (l_linenumber > 3), 0), 0), 6) AS value FROM lineitem GROUP BY ALL")
+def guarded_ratio(spark, d):
+    by = ["l_returnflag", "l_linestatus"]
+    of = lambda c, hit: table(spark, d, "lineitem").groupBy(*by).agg(F.coalesce(F.sum(F.when(F.expr(hit), F.col(c))), F.lit(0.0)).alias("value"))
+    return V.ratio(of("l_extendedprice", "l_discount > 0.05"), of("l_quantity", "l_linenumber > 3"), by).select(*by, F.round("value", 6).alias("value"))
 
 
 @query("SELECT event_id, split_part(props, ' ', 2) AS second, strftime(ts, '%H:%M:%S') || '.' || lpad((epoch_us(ts) % 1000000 // 1000)::TEXT, 3, '0') AS clock FROM events")

@@ -121,3 +121,17 @@ def ingest_limit(spark, d):
     size = (F.char_length("props") * 200).alias("size")
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_type", micros("ts").alias("at"), "event_id", size)
     return X.within_limit(rows, "event_type", "at", ["event_id"], "size", 1, 4000, 6 * HOUR).select("event_type", "event_id", "accepted")
+
+
+@query("SELECT event_type AS namespace, 'n1' AS node, 'stderr' AS stream, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(props) AS line FROM events GROUP BY ALL")
+def pod_log_stream(spark, d):
+    """Events as lines of pod logs in files, tailed as a stream, parsed, given a static label, and kept in folders by day."""
+    folder = shared_folder(spark, "pods")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(" stderr F "), "props")
+    kinds = [r[0] for r in events.select("event_type").distinct().collect()]  # the namespaces: a handful
+    for kind in kinds:
+        part = events.where(F.col("event_type") == kind).select(line.alias("value"))
+        part.write.option("quote", "\x00").option("escape", "\x00").option("sep", "\x01").option("extension", "log").csv(f"{folder}/var/log/pods/{kind}_pod_uid/app")
+    I.append_by_day(I.tail(spark, f"{folder}/var/log/pods/*/*/*.log", node="n1"), f"{folder}/kept", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/kept").groupBy("namespace", "node", "stream", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("line"))

@@ -112,6 +112,28 @@ def rule_rows(docs: DataFrame) -> DataFrame:
     return rules.select("grp", *[field("r", f"$.{p}").alias(c) for c, p in (("name", "name"), ("type", "type"), ("state", "state"), ("health", "health"), ("last_error", "lastError"))])
 
 
+def rule_count(doc: str | Column = "doc") -> Column:
+    """The rules of all groups of an object ``{spec: {groups: [{rules: [...]}]}}``; missing lists count nothing."""
+    return F.aggregate(elements(doc, "$.spec.groups"), F.lit(0), lambda n, g: n + F.size(elements(g, "$.rules")))
+
+
+def host_ports(docs: DataFrame) -> DataFrame:
+    """``(namespace, pod, image, host_port)``: a row a port of a container of pods given as VARIANT ``doc``; missing lists have none."""
+    each = docs.select(field("doc", "$.metadata.namespace").alias("namespace"), field("doc", "$.metadata.name").alias("pod"), F.explode(elements("doc", "$.spec.containers")).alias("c"))
+    ports = each.select("namespace", "pod", field("c", "$.image").alias("image"), F.explode(elements("c", "$.ports")).alias("p"))
+    return ports.select("namespace", "pod", "image", field("p", "$.hostPort", "int").alias("host_port"))
+
+
+def store_status(docs: DataFrame, key: list[str], most: int = 3) -> DataFrame:
+    """``(*key, what, place, name, value)`` of a series store's status ``{data: {...}}``: totals (place 0), and the first entries of
+    its lists ``[{name, value}]``."""
+    members = docs.select(*key, field("doc", "$.data", "map<string,variant>").alias("data")).select(*key, F.explode("data").alias("what", "v"))
+    total = members.select(*key, "what", F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("name"), field("v", "$", "long").alias("value"))
+    listed = members.select(*key, "what", F.posexplode(F.slice(elements("v", "$"), 1, most)).alias("i", "e"))
+    listed = listed.select(*key, "what", (F.col("i") + 1).cast("long").alias("place"), field("e", "$.name").alias("name"), field("e", "$.value", "long").alias("value"))
+    return total.unionByName(listed).where("value is not null")
+
+
 def leaves(docs: DataFrame, key: list[str], depth: int = 8) -> DataFrame:
     """``(*key, path, value)``: the values of VARIANT ``doc`` by path, as JSON text: scalars, empty objects and arrays, and below
     ``depth`` levels the whole rest. Keys with dots or brackets are quoted, so that paths are unambiguous."""
