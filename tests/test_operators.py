@@ -160,7 +160,8 @@ def test_nested_lists_that_are_missing(spark):
     rows = spark.createDataFrame([(1, None, ["a"]), (2, [], None), (3, ["s"], ["a"])], "i int, silenced_by array<string>, inhibited_by array<string>")
     assert {(r.i, r.active, r.silenced, r.inhibited) for r in O.alert_flags(rows).collect()} == {(1, False, False, True), (2, True, False, False), (3, False, True, True)}
     lines = spark.createDataFrame([("s", 1, "P", "a"), ("s", 2, "F", "b"), ("s", 3, "F", "c"), ("s", 4, "P", "d")], "s string, i int, flag string, line string")
-    assert sorted((r.first, r.line) for r in O.joined_lines(lines, ["s"], ["i"], "flag", "line").collect()) == [(1, "ab"), (3, "c"), (4, "d")]
+    for stretch in (None, 1, 2, 100):
+        assert sorted((r.first, r.line) for r in O.joined_lines(lines, ["s"], ["i"], "flag", "line", stretch).collect()) == [(1, "ab"), (3, "c"), (4, "d")]
 
 
 def test_arrays_maps_and_sizes_at_their_edges(spark):

@@ -99,3 +99,27 @@ def error_key(line: Column) -> Column:
     line's beginning; long numbers masked."""
     key = capture(line, r"errors: \d+ ([^:]{0,40}):", F.when(F.contains(line, F.lit(". NS:")), ".").otherwise(F.substring(line, 1, 50)))
     return F.regexp_replace(key, r"[\d.]{5,}", "N")
+
+
+def disk_benchmark(text: Column) -> Column:
+    """``iops, p999, verdict`` of a disk benchmark's text: writes a second, the 99.90th percentile told within six lines after the
+    sync section's name, and PASS for at least 1000 and at most 50; a missing value fails."""
+    first = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
+    iops, p999 = first(r"write: IOPS=([0-9.]+)"), first(r"fdatasync[^\n]*?(?:\n[^\n]*?){0,6}?99\.90th=([0-9.]+)")
+    good = (F.coalesce(iops, F.lit(0.0)) >= 1000) & (F.coalesce(p999, F.lit(999.0)) <= 50)
+    return F.struct(iops.alias("iops"), p999.alias("p999"), F.when(good, "PASS").otherwise("FAIL").alias("verdict"))
+
+
+def image_home(registry: Column, repository: Column, host: str, project: str) -> Column:
+    """``registry, repository`` that point to ``host/project`` by the repository's last segment; where a registry is given it gets
+    the host, else the repository does. One that names the host already, or has no name, stays."""
+    name = F.element_at(F.split(F.rtrim(repository, F.lit("/")), "/"), -1)
+    moves = F.coalesce((name != "") & ~F.contains(repository, F.lit(host)), F.lit(False))
+    home = F.concat(F.lit(f"{project}/"), name)
+    there = F.when(registry.isNull(), F.concat(F.lit(f"{host}/"), home)).otherwise(home)
+    return F.struct(F.when(moves & registry.isNotNull(), F.lit(host)).otherwise(registry).alias("registry"), F.when(moves, there).otherwise(repository).alias("repository"))
+
+
+def since(at: Column, now: int, unit: int, missing: float | None = None) -> Column:
+    """How many units of microseconds ago ``at``, in microseconds, was; ``missing`` for null."""
+    return F.coalesce((F.lit(now) - at) / unit, F.lit(missing).cast("double"))

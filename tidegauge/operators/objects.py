@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.labels import labelled, matched
@@ -62,16 +62,23 @@ def level(value: Column, steps: list[tuple[float, str]], otherwise: str) -> Colu
     return out
 
 
-def joined_lines(rows: DataFrame, stream: list[str], order: list[str], flag: str, line: str) -> DataFrame:
+def joined_lines(rows: DataFrame, stream: list[str], order: list[str], flag: str, line: str, stretch: int | None = None) -> DataFrame:
     """``(*stream, first, line)``: lines whose parts carry the flag P up to one with F, put together; an open end is told too.
 
-    ``first`` is the place of a line's first part. The parts of one line come together in one row; lines don't.
+    ``first`` is the place of a line's first part. The parts of one line come together in one row; lines don't. With
+    ``stretch``, for a first order column of whole numbers, a stream is counted in stretches of that many of them, and the
+    stretches by their counts, so that no task sorts a whole stream. Streams with null names are streams too.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*stream).orderBy(*order)
-    before = F.coalesce(F.sum((F.col(flag) == "F").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = rows.withColumn("_line", before).groupBy(*stream, "_line").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("part")))).alias("parts"))
+    keys = [*stream, "_stretch"]
+    rows = rows.withColumn("_stretch", F.floor(F.col(order[0]) / stretch) if stretch else F.lit(0))
+    whole = (F.col(flag) == "F").cast("long")
+    own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_line", F.coalesce(F.sum(whole).over(own), F.lit(0)))
+    if stretch:
+        counts = rows.groupBy(*keys).agg(F.sum(whole).alias("_n"))
+        up_to = Window.partitionBy(*stream).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        placed = matched(placed, counts.select(*keys, F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_before")), keys).withColumn("_line", F.col("_line") + F.col("_before"))
+    parts = placed.groupBy(*stream, "_line").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("part")))).alias("parts"))
     return parts.select(*stream, F.col("parts")[0][order[0]].alias("first"), F.array_join(F.col("parts.part"), "").alias("line"))
 
 

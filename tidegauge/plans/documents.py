@@ -11,7 +11,7 @@ from tidegauge.functions import labels as L
 from tidegauge.functions import lines as P
 from tidegauge.operators import folders as U
 from tidegauge.operators import vectors as V
-from tidegauge.plans.catalogue import query
+from tidegauge.plans.catalogue import AT, query
 from tidegauge.sources import documents as D
 from tidegauge.sources import listings as T
 from tidegauge.sources.shared import shared_folder
@@ -220,3 +220,49 @@ def guarded_ratio(spark, d):
 def fields_and_clock(spark, d):
     """A field by position, as column-wise text tools count, and a time of day from nanoseconds."""
     return table(spark, d, "events").select("event_id", P.nth(F.col("props"), 2).alias("second"), L.clock(L.micros("ts") * 1000).alias("clock"))
+
+
+@query("""SELECT 'job' || o_custkey % 7 AS job, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS up, min(left(CASE WHEN o_orderstatus = 'F' THEN 'timed out after ' || o_totalprice::INT ELSE '' END, 60)) FILTER (o_orderstatus <> 'O') AS error
+FROM orders GROUP BY 1""")
+def targets_document(spark, d):
+    """A targets document for each customer; a target that is up has no error."""
+    error = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("timed out after "), F.round("o_totalprice").cast("int").cast("string")))
+    target = F.struct(F.struct(F.concat(F.lit("job"), (F.col("o_custkey") % 7).cast("string")).alias("job")).alias("labels"), F.when(F.col("o_orderstatus") == "O", "up").otherwise("down").alias("health"), error.alias("lastError"))
+    docs = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(target).alias("activeTargets"))
+    found = D.targets(docs.select(F.try_parse_json(F.to_json(F.struct(F.struct("activeTargets").alias("data")))).alias("doc")))
+    up = F.col("health") == "up"
+    return found.groupBy("job").agg(F.count(F.lit(1)).alias("total"), F.count_if(up).alias("up"), F.min(F.when(~up, F.col("last_error"))).alias("error"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 40.0 END AS iops, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 90) + 0.5 END AS p999,
+CASE WHEN p_partkey % 5 <> 0 AND p_size * 40 >= 1000 AND p_partkey % 7 <> 0 AND p_partkey % 90 + 0.5 <= 50 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM part""")
+def disk_benchmarks(spark, d):
+    """A benchmark's text for each part, some without one value or the other."""
+    iops = F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("  write: IOPS="), (F.col("p_size") * 40).cast("string"), F.lit(", BW=1"))).otherwise("  write: none")
+    told = F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit(" | 99.90th="), (F.col("p_partkey") % 90).cast("string"), F.lit(".5"))).otherwise(" |")
+    text = F.concat(iops, F.lit("\n 99.90th=7\n  fsync/fdatasync/sync_file_range:\n    min=1\n"), told, F.lit("\n"))
+    return table(spark, d, "part").select("p_partkey", P.disk_benchmark(text).alias("b")).select("p_partkey", "b.*")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'hub' END AS registry, CASE p_partkey % 3 WHEN 0 THEN 'base/' || p_brand WHEN 1 THEN 'hub/base/' || p_brand ELSE 'hub/x/' || p_brand END AS repository FROM part""")
+def image_homes(spark, d):
+    kind = F.col("p_partkey") % 3
+    registry = F.when(kind == 0, "docker.io")
+    repository = F.concat(F.when(kind == 2, "hub/x/").otherwise("library/a/"), "p_brand", F.when(kind == 1, "/").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", P.image_home(registry, repository, "hub", "base").alias("i")).select("p_partkey", "i.*")
+
+
+@query("SELECT p_partkey, 'net: a' || chr(10) || '  external: true' || chr(10) || 'net: ' || p_brand || chr(10) || '  external: true' || chr(10) AS text FROM part")
+def lines_added_where_missing(spark, d):
+    """A line after each that it doesn't follow yet: a look-ahead and a back-reference, line by line."""
+    text = F.concat(F.lit("net: a\n"), F.when(F.col("p_partkey") % 2 == 0, "  external: true\n").otherwise(""), F.lit("net: "), "p_brand", F.lit("\n"))
+    return table(spark, d, "part").select("p_partkey", F.regexp_replace(text, r"(?m)(^net: [^\n]*\n)(?!  external: true)", "$1  external: true\n").alias("text"))
+
+
+@query("SELECT event_type AS Pod, count(*) AS Status, round((1706659200000000 - max(epoch_us(ts))) / 60000000.0, 6) AS minutes, CASE WHEN event_type = 'view' THEN -1.0 ELSE round((1706659200000000 - min(epoch_us(ts))) / 3600000000.0, 6) END AS hours FROM events GROUP BY 1")
+def promoted_columns(spark, d):
+    """A label of a series' map as a column, renamed and put in order; how long ago the last and first rows were."""
+    series = table(spark, d, "events").select(F.create_map(F.lit("pod"), "event_type", F.lit("job"), F.lit("x")).alias("labels"), L.micros("ts").alias("u"))
+    rows = series.groupBy(F.col("labels")["pod"].alias("Pod")).agg(F.count(F.lit(1)).alias("Status"), F.max("u").alias("last"), F.min("u").alias("first"))
+    first = F.when(F.col("Pod") != "view", F.col("first"))
+    return rows.select("Pod", "Status", F.round(P.since(F.col("last"), AT, L.duration("1m")), 6).alias("minutes"), F.round(P.since(first, AT, L.duration("1h"), -1.0), 6).alias("hours"))

@@ -143,7 +143,7 @@ def counter_increase_extrapolated(spark, d):
 @query("SELECT event_type, min(event_id) AS first, string_agg(props, '' ORDER BY event_id) AS line FROM (SELECT *, sum((k >= 50)::INT) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM (SELECT *, (props->>'$.k')::INT AS k FROM events)) GROUP BY event_type, coalesce(part, 0)")
 def cri_partial_lines(spark, d):
     flag = F.when(F.from_json("props", "k int")["k"] >= 50, "F").otherwise("P")
-    return O.joined_lines(table(spark, d, "events").withColumn("flag", flag), BY, ["event_id"], "flag", "props")
+    return O.joined_lines(table(spark, d, "events").withColumn("flag", flag), BY, ["event_id"], "flag", "props", stretch=1024)
 
 
 @query("""SELECT s_suppkey, CASE WHEN n = 0 THEN 'ok' ELSE concat_ws('|', CASE WHEN n & 1 > 0 THEN 'undervoltage' END, CASE WHEN n & 2 > 0 THEN 'capped' END, CASE WHEN n & 4 > 0 THEN 'throttled' END) END AS state,

@@ -135,3 +135,10 @@ def pod_log_stream(spark, d):
         part.write.option("quote", "\x00").option("escape", "\x00").option("sep", "\x01").option("extension", "log").csv(f"{folder}/var/log/pods/{kind}_pod_uid/app")
     I.append_by_day(I.tail(spark, f"{folder}/var/log/pods/*/*/*.log", node="n1"), f"{folder}/kept", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/kept").groupBy("namespace", "node", "stream", F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("line"))
+
+
+@query(f"WITH told AS ({ORACLES['deadman_cooldown']}) SELECT event_type, user_id, max(t) AS t FROM told JOIN (SELECT event_type, user_id, max(epoch_us(ts)) AS u FROM events GROUP BY ALL) USING (event_type, user_id) WHERE u <= {AT - DAY} AND t > u GROUP BY ALL")
+def deadman_last_told(spark, d):
+    """When each series that is missing at the end was told last: what recovery would clear."""
+    told = _run(spark, d, "last", lambda rows: R.deadman_stream(R.step_counts(rows, "ts", DAY, BEATS, "1 hour"), DAY, START + DAY, AT, 3 * DAY, BEATS))
+    return R.last_told(told, BEATS)

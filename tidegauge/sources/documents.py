@@ -112,6 +112,12 @@ def rule_rows(docs: DataFrame) -> DataFrame:
     return rules.select("grp", *[field("r", f"$.{p}").alias(c) for c, p in (("name", "name"), ("type", "type"), ("state", "state"), ("health", "health"), ("last_error", "lastError"))])
 
 
+def targets(docs: DataFrame) -> DataFrame:
+    """``(job, health, last_error)``: a row an active target of documents ``{data: {activeTargets: [...]}}``; errors of 60 characters."""
+    each = docs.select(F.explode(elements("doc", "$.data.activeTargets")).alias("t"))
+    return each.select(field("t", "$.labels.job").alias("job"), field("t", "$.health").alias("health"), F.left(F.coalesce(field("t", "$.lastError"), F.lit("")), F.lit(60)).alias("last_error"))
+
+
 def rule_count(doc: str | Column = "doc") -> Column:
     """The rules of all groups of an object ``{spec: {groups: [{rules: [...]}]}}``; missing lists count nothing."""
     return F.aggregate(elements(doc, "$.spec.groups"), F.lit(0), lambda n, g: n + F.size(elements(g, "$.rules")))
