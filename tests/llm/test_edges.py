@@ -123,3 +123,13 @@ def test_line_dedup(spark, docs):
     assert all(g[3] == 0 for g in got if g[0] == 1) and line_dedup.dedup_lines(docs).count() == len(ROWS)
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
     assert hashlib.sha256(LONG.encode()).digest() in {hashlib.sha256((r.text or "").encode()).digest() for r in line_dedup.dedup_lines(docs).collect()}
+
+
+def test_leaks_of_long_and_repeated_items_and_nameless_rows(spark):
+    long = " ".join(f"q{i}" for i in range(4000))
+    docs = spark.createDataFrame([(None, f"row {i} {PASSAGE}") for i in range(60)] + [(7, long), (7, f"x {PASSAGE}"), (8, f"{long} {PASSAGE}")], SCHEMA)
+    items = spark.createDataFrame([(i, " ".join(PASSAGE.split()[i % 20 : i % 20 + 30])) for i in range(40)] + [(50, long), (50, "short"), (51, long[: len(long) // 2])], "item_id long, text string")
+    for most in (0, decontaminate.BROADCAST_BYTES):
+        got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_shared) for r in decontaminate.leaks(docs, items, most=most).collect()}
+        assert {k for k, _ in got} == {None, 7, 8} and all(got[d, i] == (26, 26) for d in (None, 7, 8) for i in range(40))
+        assert got[7, 50] == got[8, 50] == (3996, 3996) and (None, 50) not in got and (None, 51) not in got and (7, 51) in got

@@ -2,8 +2,9 @@
 
 Items are partitioned by the power of two of their number of shingles. An item of q shingles of which a document holds
 at least ``t * q`` shares with it one of any ``q - ceil(t * q) + 1`` shingles; those of the least hashes, a bottom-k
-MinHash of the item with k from its own size, are the sketch. Each partition bounds the hashes of its sketches, so a
-document's shingles are compared with a partition's only below its bound. Banded MinHash of whole documents would
+MinHash of the item with k from its own size, are the sketch. Comparing a document's shingles with them is a prefix
+filter, so no leak is missed and recall needs no estimate. Each width's partitions bound the hashes of their sketches,
+and a document's shingles above the largest bound are not sent. Banded MinHash of whole documents would
 compare sets of 30 and 5,000 shingles, whose similarity is under 0.01: it would need hundreds of bands to find most
 leaks, while this search finds all.
 """
@@ -20,6 +21,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Bytes of a side that is sent to every executor at most; beyond that, both sides are shuffled. A row of ids and hashes has 40.
 BROADCAST_BYTES, ROW = 20_000_000, 40
+#: Groups in which the items that one text may hold are verified.
+GROUPS = 8
 
 
 def _small(df: DataFrame, size: int, most: int) -> DataFrame:
@@ -36,6 +39,12 @@ def _shingle_hashes(hashed: Column, width: int) -> Column:
     return F.when(F.size(hashed) >= width, runs)
 
 
+def _probes(hashed: Column, width: int, top: int) -> Column:
+    """``(width, h)`` of the different shingle hashes up to ``top``."""
+    low = F.filter(F.array_distinct(_shingle_hashes(hashed, width)), lambda h: h <= top)
+    return F.coalesce(F.transform(low, lambda h: F.struct(F.lit(width).alias("width"), h.alias("h"))), F.array().cast("array<struct<width:int,h:bigint>>"))
+
+
 def _shingles(words: Column, width: int | Column) -> Column:
     """The different runs of ``width`` words, each joined by one space."""
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.array_join(F.slice(words, i + 1, width), " "))
@@ -64,39 +73,37 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment:
     ...)``; null texts, texts without words and items without an id match nothing. Rows that share a doc_id, or have none,
     are one document with the most that any of its rows holds; likewise items. Empty tables give an empty one. Other
     columns are ignored. A text of any length is one value in one task; an item may leak any number of times.
+
+    A text is searched and verified once, however many rows have it: two hashes of it name it. All widths are searched in
+    one scan, and a text's words are taken apart once for up to GROUPS groups of the items that it may hold.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     sketch = scratch.save(item_sketches(items, width, containment), "sketch")
     bounds = {(r["width"], r["part"]): (r["top"], r["n"]) for r in sketch.groupBy("width", "part").agg(F.max("h").alias("top"), F.count(F.lit(1)).alias("n")).collect()}  # at most 64 sizes a width
-    words = docs.where("text is not null").select("doc_id", _word_hashes(word_array(F.col("text"))).alias("words"))
-    found = None
-    for w in sorted({w for w, _ in bounds}):
-        hashes = words.select("doc_id", F.explode(F.array_distinct(_shingle_hashes(F.col("words"), w))).alias("h"))
-        top, n = max(t for (x, _), (t, _) in bounds.items() if x == w), sum(n for (x, _), (_, n) in bounds.items() if x == w)
-        within = [((F.col("part") == p) & (F.col("h") <= t)) for (x, p), (t, _) in sorted(bounds.items()) if x == w]
-        each = within[0]
-        for more in within[1:]:
-            each = each | more
-        one = hashes.where(F.col("h") <= top).join(_small(sketch.where(F.col("width") == w), n * ROW, most), "h").where(each).select("doc_id", "item_id")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
-    pairs = scratch.save(found.distinct(), "pairs")
-    hit = pairs.select("doc_id").distinct()
-    n_docs = hit.count()
-    near = docs.where("text is not null").select("doc_id", "text")
-    if n_docs * ROW <= most:
-        near = near.join(F.broadcast(hit.withColumnRenamed("doc_id", "_hit")), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_semi")
+    if not bounds:
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shingles long, n_shared long, containment double")
+    tops = {w: max(t for (x, _), (t, _) in bounds.items() if x == w) for w in sorted({w for w, _ in bounds})}
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("b1"), F.xxhash64(F.lit(1), "text").alias("b2"), "text")
+    words = texts.select("b1", "b2", _word_hashes(word_array(F.col("text"))).alias("words"))
+    probes = words.select("b1", "b2", F.explode(F.concat(*[_probes(F.col("words"), w, top) for w, top in tops.items()])).alias("x")).select("b1", "b2", "x.width", "x.h")
+    found = probes.join(_small(sketch.select("width", "h", "item_id"), sum(n for _, n in bounds.values()) * ROW, most), ["width", "h"])
+    pairs = scratch.save(found.select("b1", "b2", "item_id").distinct(), "pairs")
+
+    hit = pairs.select("b1", "b2").distinct()
+    held = scratch.save(texts.join(_small(hit, hit.count() * ROW, most), ["b1", "b2"], "left_semi"), "held")
     item_words = items.select("item_id", word_array(F.col("text")).alias("words"))
     size = F.least(F.size("words"), F.lit(width))
     own = item_words.where(F.size("words") > 0).select("item_id", _shingles(F.col("words"), size).alias("own"), size.alias("width"))
     text_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text") + ROW), F.lit(0))).first()[0]  # a word is in ``width`` shingles
-    doc_words = near.select("doc_id", word_array(F.col("text")).alias("words"))
-    named = pairs.join(_small(own, width * text_bytes, most), "item_id").withColumnRenamed("doc_id", "_doc")
-    both = named.join(doc_words, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    shared = both.select("doc_id", "item_id", F.size("own").alias("n_shingles"), F.size(F.array_intersect("own", _shingles(F.col("words"), F.col("width")))).alias("n_shared"))
-    shared = shared.where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9)
-    best = shared.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared")).alias("best"))
+    item = F.struct("item_id", "own", "width")
+    asked = pairs.join(_small(own, width * text_bytes, most), "item_id").groupBy("b1", "b2", F.pmod(F.xxhash64("item_id"), F.lit(GROUPS)).alias("g")).agg(F.collect_list(item).alias("items"))
+    once = held.groupBy("b1", "b2").agg(F.first("text").alias("text")).select("b1", "b2", word_array(F.col("text")).alias("words"))
+    both = asked.join(once, ["b1", "b2"]).select("b1", "b2", "items", *[_shingles(F.col("words"), w).alias(f"s{w}") for w in tops])
+    of = lambda i: F.coalesce(*[F.when(i["width"] == w, F.col(f"s{w}")) for w in tops])
+    shared = both.select("b1", "b2", F.explode(F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), F.size(i["own"]).alias("n_shingles"), F.size(F.array_intersect(i["own"], of(i))).alias("n_shared")))).alias("x")).select("b1", "b2", "x.*")
+    shared = scratch.save(shared.where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9), "shared")
+    named = held.select("doc_id", "b1", "b2").join(_small(shared, shared.count() * ROW, most), ["b1", "b2"])
+    best = named.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_shared")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n_shingles").cast("long").alias("n_shingles"), F.col("best.n_shared").cast("long").alias("n_shared"), "best.containment")
 
 
