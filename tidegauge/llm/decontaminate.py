@@ -34,15 +34,14 @@ def _word_hashes(words: Column) -> Column:
 
 
 def _shingle_hashes(hashed: Column, width: int) -> Column:
-    """A 64-bit hash of each run of ``width`` words, from the words' hashes, which must be a column; of fewer words, none."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(hashed) - width), lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(width)]))
+    """A 64-bit hash of ``width`` and each run of that many words, from the words' hashes, which must be a column; of fewer words, none."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(hashed) - width), lambda i: F.xxhash64(F.lit(width), *[F.get(hashed, i + k) for k in range(width)]))
     return F.when(F.size(hashed) >= width, runs)
 
 
 def _probes(hashed: Column, width: int, top: int) -> Column:
-    """``(width, h)`` of the different shingle hashes up to ``top``."""
-    low = F.filter(F.array_distinct(_shingle_hashes(hashed, width)), lambda h: h <= top)
-    return F.coalesce(F.transform(low, lambda h: F.struct(F.lit(width).alias("width"), h.alias("h"))), F.array().cast("array<struct<width:int,h:bigint>>"))
+    """The different shingle hashes up to ``top``."""
+    return F.coalesce(F.filter(F.array_distinct(_shingle_hashes(hashed, width)), lambda h: h <= top), F.array().cast("array<bigint>"))
 
 
 def _shingles(words: Column, width: int | Column) -> Column:
@@ -85,8 +84,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment:
     tops = {w: max(t for (x, _), (t, _) in bounds.items() if x == w) for w in sorted({w for w, _ in bounds})}
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("b1"), F.xxhash64(F.lit(1), "text").alias("b2"), "text")
     words = texts.select("b1", "b2", _word_hashes(word_array(F.col("text"))).alias("words"))
-    probes = words.select("b1", "b2", F.explode(F.concat(*[_probes(F.col("words"), w, top) for w, top in tops.items()])).alias("x")).select("b1", "b2", "x.width", "x.h")
-    found = probes.join(_small(sketch.select("width", "h", "item_id"), sum(n for _, n in bounds.values()) * ROW, most), ["width", "h"])
+    probes = words.select("b1", "b2", F.explode(F.concat(*[_probes(F.col("words"), w, top) for w, top in tops.items()])).alias("h"))
+    found = probes.join(_small(sketch.select("h", "item_id"), sum(n for _, n in bounds.values()) * ROW, most), "h")
     pairs = scratch.save(found.select("b1", "b2", "item_id").distinct(), "pairs")
 
     hit = pairs.select("b1", "b2").distinct()
@@ -98,7 +97,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = SHINGLE, containment:
     item = F.struct("item_id", "own", "width")
     asked = pairs.join(_small(own, width * text_bytes, most), "item_id").groupBy("b1", "b2", F.pmod(F.xxhash64("item_id"), F.lit(GROUPS)).alias("g")).agg(F.collect_list(item).alias("items"))
     once = held.groupBy("b1", "b2").agg(F.first("text").alias("text")).select("b1", "b2", word_array(F.col("text")).alias("words"))
-    both = asked.join(once, ["b1", "b2"]).select("b1", "b2", "items", *[_shingles(F.col("words"), w).alias(f"s{w}") for w in tops])
+    asked_for = lambda w: F.when(F.exists("items", lambda i: i["width"] == w), _shingles(F.col("words"), w))
+    both = asked.join(once, ["b1", "b2"]).select("b1", "b2", "items", *[asked_for(w).alias(f"s{w}") for w in tops])
     of = lambda i: F.coalesce(*[F.when(i["width"] == w, F.col(f"s{w}")) for w in tops])
     shared = both.select("b1", "b2", F.explode(F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), F.size(i["own"]).alias("n_shingles"), F.size(F.array_intersect(i["own"], of(i))).alias("n_shared")))).alias("x")).select("b1", "b2", "x.*")
     shared = scratch.save(shared.where(F.col("n_shared") >= F.col("n_shingles") * containment - 1e-9), "shared")

@@ -137,5 +137,4 @@ def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 def word_array(text: Column) -> Column:
     """The words of ``text`` in lower case without punctuation: runs of letters and digits."""
-    clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.array_remove(F.split(clean, " "), "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
