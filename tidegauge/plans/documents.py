@@ -234,7 +234,7 @@ def targets_document(spark, d):
     return found.groupBy("job").agg(F.count(F.lit(1)).alias("total"), F.count_if(up).alias("up"), F.min(F.when(~up, F.col("last_error"))).alias("error"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 40.0 END AS iops, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 90) + 0.5 END AS p999,
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN (p_size * 40)::DOUBLE END AS iops, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 90)::DOUBLE + 0.5::DOUBLE END AS p999,
 CASE WHEN p_partkey % 5 <> 0 AND p_size * 40 >= 1000 AND p_partkey % 7 <> 0 AND p_partkey % 90 + 0.5 <= 50 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM part""")
 def disk_benchmarks(spark, d):
     """A benchmark's text for each part, some without one value or the other."""
