@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "tidegauge-shared")
 
 
-_opened: list[Scratch] = []
+#: The tables of the innermost ``freed`` of this thread or task, if any.
+_opened: ContextVar[list[Scratch] | None] = ContextVar("opened", default=None)
 
 
 @contextmanager
 def freed() -> Iterator[None]:
-    """At the end, the tables of all Scratches made within are dropped: for callers that have written what they wanted."""
-    begun = len(_opened)
-    yield
-    while len(_opened) > begun:
-        _opened.pop().drop("")
+    """At the end, failed or not, the tables of all Scratches made within are dropped: for callers that have written what they
+    wanted. Other threads' tables are theirs."""
+    own: list[Scratch] = []
+    before = _opened.set(own)
+    try:
+        yield
+    finally:
+        _opened.reset(before)
+        for scratch in reversed(own):
+            scratch.drop("")
 
 
 class Scratch:
@@ -44,7 +51,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        _opened.append(self)
+        if (own := _opened.get()) is not None:
+            own.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}" if table else self.root
