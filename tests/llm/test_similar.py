@@ -55,6 +55,35 @@ def test_groups_are_those_of_all_pairs(spark):
     assert simhash.keep_one(docs.where("false")).count() == 0
 
 
+def blocks(count):
+    """Texts of ten out of thirty common passages in any order, some of them near copies: any two share many shingles."""
+    rnd, out = random.Random(11), []
+    passages = [" ".join(f"p{k}x{i}" for i in range(20)) for k in range(30)]
+    while len(out) < count:
+        words = " ".join(rnd.sample(passages, 10)).split()
+        out.append(" ".join(words))
+        if len(out) % 10 == 0:
+            words[rnd.randrange(200)] = "changed"
+            out.append(" ".join(words))
+    return out[:count]
+
+
+def test_buckets_cut_anywhere_and_tiles_lose_no_link(spark):
+    rows = blocks(400) + texts()
+    want = brute(rows)
+    assert len(set(want)) < len(rows) - 60
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for reach, tile in ((8, 512), (2, 16)):
+            least, got = {}, {r.doc_id: r.root for r in similar_groups(docs, WIDTH, PART, reach=reach, tile=tile).collect()}
+            for i in sorted(got):
+                least.setdefault(got[i], i)
+            assert [least[got[i]] for i in range(len(rows))] == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_pairs_far_apart_in_bits_are_found(spark):
     rnd, rows = random.Random(3), []
     while len(rows) < 20:  # pairs just above PART whose fingerprints differ in more than 10 bits
