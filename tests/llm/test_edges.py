@@ -80,6 +80,13 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.where("false"), rules).count() == 0
 
 
+def test_fixed_rules_are_the_contracts(spark, tmp_path):
+    urls = ["http://a.com/en/1", "http://www.example.com/en/7", "http://B.net/de/5", "http://m.example.net/de/8", "http://m.example.net/de/7", "http://c.org/es/", "http://c.org/de/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.op5_url_filter(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(urls))] == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
+
+
 def test_language(spark, docs):
     two = spark.createDataFrame([(i, t, lang) for i in range(40) for t, lang in ((f"the cat sat on the mat {i}", "en"), (f"der Hund und die Katze {i}", "de"))], "doc_id long, text string, lang string")
     model = language.fit(two)
