@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidegauge.plans import documents
 from tidegauge.sources import documents as D
 from tidegauge.sources import tables as S
 
@@ -92,3 +93,12 @@ def test_snapshot_drops_malformed_lines_for_any_columns(spark, tmp_path):
     assert sorted(map(tuple, S.snapshot(spark, str(tmp_path / "b")).collect())) == sorted(map(tuple, a.collect()))
     with pytest.raises(Exception, match="bar"):
         S.write_snapshot(a.withColumn("name", F.lit("a|b")), str(tmp_path / "c"))
+
+
+def test_long_values_are_encoded_in_one_line(spark, tmp_path):
+    import base64
+
+    urls = {k: c * n for k, (c, n) in enumerate([("u", 57), ("u", 58), ("v", 200), ("é", 40), ("u", 0)])}
+    spark.createDataFrame([(k, u) for k, u in urls.items()] + [(9, None)], "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.coded for r in documents.encoded_values(spark, str(tmp_path)).collect()}
+    assert got == {k: base64.b64encode(u.encode()).decode() for k, u in urls.items()}

@@ -150,6 +150,11 @@ def percent_encoded(text: str | Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def base64_text(data: str | Column) -> Column:
+    """Bytes in base64 as one line; Spark's own breaks it after each 76 characters."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 def clock(ns: str | Column) -> Column:
     """``HH:mm:ss.SSS`` in UTC of nanoseconds since the epoch, without the session's zone."""
     c = F.col(ns) if isinstance(ns, str) else ns

@@ -103,7 +103,7 @@ def snapshot_round_trip(spark, d):
 @query("SELECT page_id, regexp_extract(url, '(error|warn|page)s?/?([0-9]*)', 0) AS whole, url_encode(url) AS encoded, to_base64(url::BLOB) AS coded FROM pages WHERE url IS NOT NULL")
 def encoded_values(spark, d):
     url = F.col("url")
-    return table(spark, d, "pages").where(url.isNotNull()).select("page_id", P.found(url, "(error|warn|page)s?/?([0-9]*)").alias("whole"), L.percent_encoded(url).alias("encoded"), F.base64(url.cast("binary")).alias("coded"))
+    return table(spark, d, "pages").where(url.isNotNull()).select("page_id", P.found(url, "(error|warn|page)s?/?([0-9]*)").alias("whole"), L.percent_encoded(url).alias("encoded"), L.base64_text(url.cast("binary")).alias("coded"))
 
 
 @query("""SELECT l_orderkey AS pod, string_agg(p, ',' ORDER BY p) AS ports FROM (SELECT DISTINCT l_orderkey, (8000 + l_suppkey % 50) || ':' || l_partkey % 90 || CASE WHEN l_returnflag = 'R' THEN '/udp' ELSE '' END AS p
