@@ -1,6 +1,7 @@
 """Rules on streams: state kept for each series, and timers that fire when nothing comes.
 
-Rows are first counted by series and step, so that a series of any size brings one row a step to its state. A step is
+Rows are first counted by series and step, so that a series of any size brings one row a step to its state. Series are
+dealt to BUCKETS groups, whose states and timers hold many series each, as a call to a group costs more than a series. A step is
 judged once, when the watermark has passed its end; ``delay`` is how late a row may be. Every step is named by its end
 ``t`` in microseconds and holds ``(t - step, t]``. A row is late if the micro-batch before had passed its step's end. What has been told, and since when, lives in the checkpoint: a query
 that is stopped and started again goes on where it was.
@@ -22,6 +23,8 @@ from tidegauge.operators.alerts import Rule
 NEVER = -(1 << 62)
 #: Marks the rows that only tell the time.
 CLOCK = "_clock"
+#: Groups that series are dealt to by their hash; it can't change while a checkpoint lives.
+BUCKETS = 4096
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,8 +38,8 @@ def step_counts(rows: DataFrame, ts: str, step: int, by: list[str], delay: str)
 
 
 class _Rule(StatefulProcessor):
-    """A series' closed steps in order. ``judge`` gets the counts of steps that have come, and the step up to which all is closed;
-    it changes ``self.memory``, appends to ``self.told`` and gives the step to wait for, or None."""
+    """The series of a group, each with its closed steps in order. ``judge`` gets the counts of a series' steps that have come, and the
+    step up to which all is closed; it changes ``self.memory``, appends to ``self.told`` and gives the step to wait for, or None."""
 
     memory_schema = ""
 
@@ -44,31 +47,43 @@ class _Rule(StatefulProcessor):
         self.columns, self.step, self.start, self.end = columns, step, start, end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("memory", self.memory_schema)
+        self.handle, self.state = handle, handle.getValueState("group", f"members array<struct<series string, {self.memory_schema}>>")
 
     def judge(self, counts: dict[int, int], closed: int) -> int | None:
         raise NotImplementedError
 
-    def _run(self, key: tuple, counts: dict[int, int], mark_ms: int) -> pd.DataFrame:
+    def _run(self, counts: dict[str, dict[int, int]], mark_ms: int) -> pd.DataFrame:
         closed = self.start + (mark_ms * 1000 - self.start) // self.step * self.step
-        self.memory, self.told = (self.state.get() if self.state.exists() else None), []
-        wait = self.judge(counts, min(max(closed, max(counts, default=NEVER)), self.end))
-        if self.memory is None:
-            self.state.clear()
+        known = {m[0]: tuple(m[1:]) for m in self.state.get()[0]} if self.state.exists() else {}
+        members, rows, first = [], [], None
+        for series in {**known, **counts}:
+            mine = counts.get(series, {})
+            self.memory, self.told = known.get(series), []
+            wait = self.judge(mine, min(max(closed, max(mine, default=NEVER)), self.end))
+            if self.memory is not None:
+                members.append((series, *self.memory))
+            if wait is not None and wait <= self.end:
+                first = wait if first is None else min(first, wait)
+            rows += [(series, *row) for row in self.told]
+        if members:
+            self.state.update((members,))
         else:
-            self.state.update(self.memory)
+            self.state.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if wait is not None and wait <= self.end:
-            self.handle.registerTimer(max(-(-wait // 1000), mark_ms + 1))
-        return pd.DataFrame([(*key, *row) for row in self.told], columns=self.columns)
+        if first is not None:
+            self.handle.registerTimer(max(-(-first // 1000), mark_ms + 1))
+        return pd.DataFrame(rows, columns=self.columns)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        counts = {int(t): int(n) for f in rows for t, n in zip(f["t"], f["n"], strict=True)}
-        yield self._run(key, counts, timerValues.getCurrentWatermarkInMs())
+        counts: dict[str, dict[int, int]] = {}
+        for f in rows:
+            for series, t, n in zip(f["series"].tolist(), f["t"].tolist(), f["n"].tolist(), strict=True):
+                counts.setdefault(series, {})[t] = n
+        yield self._run(counts, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._run(key, {}, timerValues.getCurrentWatermarkInMs())
+        yield self._run({}, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -126,8 +141,12 @@ class _DeadMan(_Rule):
 
 
 def _by_series(counts: DataFrame, by: list[str], processor: _Rule, more: str) -> DataFrame:
-    kinds = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in by)
-    return counts.groupBy(*by).transformWithStateInPandas(processor, f"{kinds}, {more}", "append", "EventTime")
+    """The rows that the processor tells of each series, which goes through it as one text."""
+    series = F.to_json(F.array(*[F.col(c).cast("string") for c in by]))
+    dealt = counts.select(series.alias("series"), "at", "t", "n").withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(BUCKETS)))
+    told = dealt.groupBy("bucket").transformWithStateInPandas(processor, f"series string, {more}", "append", "EventTime")
+    labels = F.from_json("series", "array<string>")
+    return told.select(*[F.get(labels, F.lit(k)).cast(counts.schema[c].dataType).alias(c) for k, c in enumerate(by)], *processor.columns[1:])
 
 
 def hold_stream(counts: DataFrame, rule: Rule, step: int, start: int, end: int, by: list[str]) -> DataFrame:
@@ -136,7 +155,7 @@ def hold_stream(counts: DataFrame, rule: Rule, step: int, start: int, end: int,
 
     ``counts`` is ``step_counts``; a step without rows is false. Steps outside ``[start, end]`` aren't judged.
     """
-    names = [*by, "t", "alertname", "severity", "state"]
+    names = ["series", "t", "alertname", "severity", "state"]
     return _by_series(counts, by, _Hold(names, rule, step, start, end), "t long, alertname string, severity string, state string")
 
 
@@ -148,7 +167,7 @@ def deadman_stream(beats: DataFrame, step: int, start: int, end: int, cooldown:
     ``end``. A timer judges steps in which nothing comes, so that a series that falls silent for good is told too. The
     state is the next step to judge and how long the outage has lasted: what was told last, until recovery clears it.
     """
-    return _by_series(beats, by, _DeadMan([*by, "t", "kind"], step, start, end, cooldown), "t long, kind string")
+    return _by_series(beats, by, _DeadMan(["series", "t", "kind"], step, start, end, cooldown), "t long, kind string")
 
 
 def last_told(told: DataFrame, by: list[str]) -> DataFrame:
