@@ -95,3 +95,27 @@ def test_bursts_are_told_once_and_late_lines_are_not_counted(spark, tmp_path):
     got = replay(spark, tmp_path, deliveries, lambda rows: I.bursts(rows.select("s", "ts"), "ts", ["s"], "1 hour", 1, "1 hour"), 1, 2)
     assert sorted((r.s, r.u - START, r.n) for r in got.select("s", "n", F.unix_micros("start").alias("u")).collect()) == [("a", 0, 3), ("b", 5 * HOUR, 2)]
 
+
+
+def test_many_series_share_the_state_of_a_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 3)
+    beats = [(k, s, START + (k % 5) * DAY + 7) for k in range(60) for s in ('a"]', "")] + [(None, "a", START + 7), (2**60 + 1, "b", START + 7)]
+    rows = spark.createDataFrame([(*r, False) for r in beats], "k long, s string, u long, _clock boolean")
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for part in (rows, spark.createDataFrame([(None, None, END + 9 * DAY, True)], rows.schema)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.02)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).withColumn("ts", F.timestamp_micros("u"))
+        told = R.deadman_stream(R.step_counts(stream, "ts", DAY, ["k", "s"], "1 hour"), DAY, START + DAY, END, 3 * DAY, ["k", "s"])
+        query = R.append_all(told, out, state)
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    at = lambda u: u + -u % DAY
+    want = [(k, s, t) for k, s, u in beats for a, b in ((START + DAY, at(u)), (at(u) + DAY, END + 1)) for t in range(a, b, 3 * DAY)]
+    got = [(r.k, r.s, r.t) for r in spark.read.schema(told.schema).parquet(out).where("kind = 'missing'").collect()]
+    assert told.schema["k"].dataType.simpleString() == "bigint" and sorted(map(str, got)) == sorted(map(str, want))
+    kept = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if "transformWithState" in o["operatorName"]]
+    assert kept and 0 < max(kept) <= 9  # at most a state, a timer and its index a group; there are over 60 series
