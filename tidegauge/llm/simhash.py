@@ -287,7 +287,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 3, bucket_rows:
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    own = scratch.save(fingerprints(docs, width), "own")
+    return fingerprint_components(scratch.save(fingerprints(docs, width), "own"), scratch, tau, bucket_rows)
+
+
+def fingerprint_components(own: DataFrame, scratch: Scratch, tau: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``(doc_id, fp, component_id)`` of each row of the written table ``own (doc_id, fp)``, see ``near_duplicates``."""
     first = scratch.save(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "first")
     links = fingerprint_links(first, scratch, tau, bucket_rows)
     member = connected_components(links, scratch)
@@ -299,13 +303,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 3, bucket_rows:
 def keep_one(docs: DataFrame, width: int = 5, min_jaccard: float = 0.8) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that of the least doc_id.
 
-    Groups are connected by all pairs that share ``min_jaccard`` of their shingles, found exactly, not by fingerprint:
-    SimHash differs in more bits than any small bound for a good part of the pairs at 0.8. A row is named by doc_id and
+    Groups are connected by all pairs that share ``min_jaccard`` of their shingles. Candidates come from SimHash first: members
+    of a fingerprint component are checked exactly. As SimHash differs in more bits than any small bound for a good part of the
+    pairs at 0.8, an exact join completes these groups. A row is named by doc_id and
     text, so a different text under a kept doc_id, or under none, stays unless its own group has a lesser row; rows
     without a doc_id come last, and rows that repeat both go too.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    groups = scratch.save(similar_groups(docs, width, min_jaccard), "groups")
+    prints = scratch.save(fingerprints(docs.select(F.xxhash64("text").alias("doc_id"), "text")).distinct(), "prints")  # a row a text
+    alike = scratch.save(fingerprint_components(prints, scratch).select(F.col("doc_id").alias("body"), F.col("component_id").alias("token")), "alike")
+    groups = scratch.save(similar_groups(docs, width, min_jaccard, alike=alike), "groups")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")
     rows = groups.groupBy("doc_id", "body", "root").agg(F.count(F.lit(1)).alias("n")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "body"), F.lit(64)))
     low = rows.groupBy("root", "salt").agg(F.min(name).alias("first")).groupBy("root").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
