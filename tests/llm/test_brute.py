@@ -112,6 +112,55 @@ def test_encoders_on_odd_texts_and_equal_hashes(ids, monkeypatch):
     assert bpe.WordEncoder(PATH).encode(ODD * 2) == want * 2
 
 
+class Counted:
+    """The library, with the number of texts that it was given."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_new_fragments_reach_the_library_in_few_texts(ids):
+    own = bpe.WordEncoder(PATH)
+    own.library = counted = Counted(own.library)
+    found = [f" wo{k:x}rd" for k in range(0xAAAA, 0xAFFF) if f"{k:x}".isalpha()] + ["\nünd", "\tstraße", " 你好", " 'tis", " $$", " 12", "  two", " <|", "endoftext", "|>", " s", "'s", " end \n"]
+    text = "".join(found[:-6])  # all of them would hold the added token
+    assert own.encode([text, *found]) == [ids(t).tobytes() for t in [text, *found]]
+    assert counted.texts < len(found) / 10
+    counted.texts = 0
+    own.encode([text])
+    assert not counted.texts
+
+
+def test_joined_fragments_are_told_apart_or_encoded_alone(ids):
+    own = bpe.WordEncoder(PATH)
+    for raw in ([b" a", b" bc", b",", b" d"], [b" a", b" \xff", b" b"], [b"<|", b"endoftext", b"|>"], [b" x"]):
+        want = [ids(x.decode("utf-8", "replace")) for x in raw]
+        got, n = own.encode_new(b"".join(raw), np.cumsum([len(x) for x in raw]), False)
+        assert got.tolist() == np.concatenate(want).tolist() and n.tolist() == list(map(len, want))
+    own.width[:] = 1  # the tokens' bytes no longer end where fragments do
+    assert own.encode(["some words here"]) == [ids("some words here").tobytes()]
+
+
+def test_full_memory_keeps_what_was_met_again(ids, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 100)
+    for kind in (bpe.WordEncoder, bpe.BoundaryEncoder):
+        own, often = kind(PATH), [f" often{c}" for c in "abcdefghij"]
+        for k in range(40):
+            batch = ["".join(often + [f" once{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "klmnopqrst"])]
+            assert own.encode(batch) == [ids(t).tobytes() for t in batch]
+            assert own.memory.n <= 120
+            if k > 1:
+                raw = b"".join(x.encode() for x in often)
+                hashes = texts.ByteWords(np.frombuffer(raw, np.uint8)).hashes(np.arange(10) * 7, np.full(10, 7))
+                assert (own.memory.find(hashes) >= 0).all()
+        monkeypatch.setattr(own.memory, "again", np.ones_like(own.memory.again))
+        assert own.memory.lean().n in (0, own.memory.n)
+
+
 def test_tampered_stores_are_found(spark, tmp_path, docs):
     rows = [(i, t) for i, t in docs.items()] + [(i + 1000, t) for i, t in docs.items()]  # each chunk is shared
     token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "s"), PATH)

@@ -4,8 +4,8 @@ A byte-level vocabulary never joins some byte pairs: no token holds them next to
 encoding has a token boundary, so both sides can be encoded alone. A batch of texts is cut, all texts at once, at byte
 pairs between which the pre-tokenizer cuts whatever stands around them: before white space, and between ASCII letters,
 digits and marks. ``BoundaryEncoder`` cuts each new fragment further at its forced boundaries, encodes each different
-piece once, and concatenates; ``WordEncoder`` gives new fragments to the library as they are. The ids of fragments are
-remembered by a hash, and the bytes are compared at every use.
+piece once, and concatenates; ``WordEncoder`` gives new fragments to the library, many in one text where white space
+parts them. The ids of fragments are remembered by a hash, and the bytes are compared at every use.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from tidegauge.llm.texts import ByteWords, text_bytes, text_parts
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Fragments that one Python worker remembers; then it starts anew. Longer ones than so many bytes are not remembered.
+#: Fragments that one Python worker remembers; then it forgets those that it met once. Longer ones than so many bytes are not remembered.
 CACHE_ENTRIES, LONGEST = 600_000, 256
 #: Pieces of fragments that BoundaryEncoder remembers besides.
 PIECES = 100_000
@@ -48,19 +48,18 @@ def byte_chars() -> str:
     return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
 
 
-@cache
-def certain_cuts() -> np.ndarray:
-    """For each two bytes, ``256 * first + second``, whether the pre-tokenizer cuts between them wherever they stand.
+#: Kinds of bytes: 1 white space, 2 letters, 3 digits, 4 marks of ASCII; 0 others, and the apostrophe, which may begin a contraction.
+_KINDS = bytes(1 if b in b" \t\n\r\x0b\x0c" else 0 if not 32 < b < 127 or b == 39 else 2 if chr(b).isalpha() else 3 if chr(b).isdigit() else 4 for b in range(256))
+
+
+def certain_cuts(data: bytes) -> np.ndarray:
+    """For each two bytes that follow each other, whether the pre-tokenizer cuts between them wherever they stand.
 
-    It does before the first of several white spaces, and between ASCII letters, digits and marks other than the
-    apostrophe, which may begin a contraction.
+    It does before the first of several white spaces, and between ASCII letters, digits and marks.
     """
-    kind = np.zeros(256, np.int8)
-    kind[[*b" \t\n\r\x0b\x0c"]] = 1
-    for b in range(ord("!"), 127):
-        kind[b] = 2 if chr(b).isalpha() else 3 if chr(b).isdigit() else 4 if chr(b) != "'" else 0
-    a, b = kind[:, None], kind[None, :]
-    return (((b == 1) & (a != 1)) | ((a > 1) & (b > 1) & (a != b))).ravel()
+    kind = np.frombuffer(data.translate(_KINDS), np.uint8)
+    a, b = kind[:-1], kind[1:]
+    return (a != b) & (b > 0) & ((b == 1) | (a > 1))
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -82,6 +81,7 @@ class _Memory:
         self.keys, self.number = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
         self.n, self.ids, self.bytes = 0, np.zeros(1 << 20, "<u4"), np.zeros(1 << 20, np.uint8)
         self.first, self.at = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)  # places in ids and bytes, with one past the last
+        self.again = np.zeros(1 << 16, bool)  # whether a fragment was met again in a later batch
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 if it is new."""
@@ -103,24 +103,51 @@ class _Memory:
             left = left[self.keys[slot[left]] != h[left]]
             slot[left] = (slot[left] + 1) & ((1 << self.BITS) - 1)
 
-    def add(self, raw: list[bytes], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Takes in fragments; returns their numbers."""
-        n, new = self.n, len(raw)
-        self.first = _room(self.first, n + new + 1)
-        self.at = _room(self.at, n + new + 1)
+    def add(self, raw: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Takes in fragments of ``sizes`` bytes and ``counts`` ids, one after the other; returns their numbers."""
+        n, new = self.n, len(sizes)
+        self.first, self.at, self.again = _room(self.first, n + new + 1), _room(self.at, n + new + 1), _room(self.again, n + new)
         self.first[n + 1 : n + new + 1] = self.first[n] + np.cumsum(counts)
-        self.at[n + 1 : n + new + 1] = self.at[n] + np.cumsum([len(x) for x in raw])
+        self.at[n + 1 : n + new + 1] = self.at[n] + np.cumsum(sizes)
         self.ids, self.bytes = _room(self.ids, self.first[n + new]), _room(self.bytes, self.at[n + new] + 8)
         self.ids[self.first[n] : self.first[n + new]] = ids
-        self.bytes[self.at[n] : self.at[n + new]] = np.frombuffer(b"".join(raw), np.uint8)
+        self.bytes[self.at[n] : self.at[n + new]] = raw
         self.n = n + new
         return np.arange(n, n + new, dtype=np.int32)
 
+    def full(self) -> bool:
+        return bool(self.n > CACHE_ENTRIES or self.at[self.n] > 32 * CACHE_ENTRIES)
+
+    def lean(self) -> _Memory:
+        """A new one with the fragments that were met again, or with none if these would fill over half of it."""
+        out = _Memory()
+        slot = np.flatnonzero(self.number >= 0)
+        slot = slot[self.again[self.number[slot]]]
+        slot = slot[np.argsort(self.number[slot])]
+        keep = np.zeros(self.n, bool)
+        keep[self.number[slot]] = True
+        counts, sizes = np.diff(self.first[: self.n + 1]), np.diff(self.at[: self.n + 1])
+        if 2 * len(slot) <= CACHE_ENTRIES and sizes[keep].sum() <= 16 * CACHE_ENTRIES:
+            ids, raw = self.ids[: self.first[self.n]][np.repeat(keep, counts)], self.bytes[: self.at[self.n]][np.repeat(keep, sizes)]
+            out.name(self.keys[slot], out.add(raw, sizes[keep], ids, counts[keep]))
+        return out
+
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(int(n), 3 * len(a) // 2) - len(a), a.dtype)])
 
 
+def _strings(raw: bytes, ends: np.ndarray) -> list[str]:
+    places = ends.tolist()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *places], places, strict=False)]
+
+
+def _spaced(raw: bytes, places: np.ndarray) -> np.ndarray:
+    """Whether white space follows another byte at each place."""
+    white = np.frombuffer(raw.translate(_KINDS), np.uint8) == 1
+    return white[places] & ~white[places - 1]
+
+
 class WordEncoder:
     """Encodes texts as the library does with add_special_tokens=False; remembers the ids of fragments, not of texts."""
 
@@ -128,8 +155,12 @@ class WordEncoder:
         self.path, spec = path, json.loads(open(path, encoding="utf-8").read())
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.odd = re.compile(b"|".join([_OTHER_SPACE.pattern, *(re.escape(t.encode()) for t in self.added)]))
-        self.lead = np.zeros(256, bool)  # bytes that what ``odd`` finds can begin with
-        self.lead[[*b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3", *(t.encode()[0] for t in self.added)]] = True
+        lead = {*b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3", *(t.encode()[0] for t in self.added)}
+        self.lead = bytes(b in lead for b in range(256))  # bytes that what ``odd`` finds can begin with
+        self.spaced = not any(map(re.compile(r"\s").search, self.added))  # no added token can reach over white space
+        self.width = np.zeros(1 + max([*spec["model"]["vocab"].values(), *self.added.values()]), np.int64)  # each token's bytes
+        for t, i in spec["model"]["vocab"].items():
+            self.width[i] = len(t)
         self.memory = _Memory()
         self.setup(spec)
 
@@ -138,11 +169,30 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
 
-    def encode_new(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_each(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all fragments, and how many each has."""
         found = [e.ids for e in self.library.encode_batch_fast(fragments, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
 
+    def encode_new(self, raw: bytes, ends: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same of fragments that end at ``ends``; unless they are to be taken as a whole, many make one text.
+
+        One text goes on where white space follows another byte: the pre-tokenizer cuts there. What each fragment has is
+        told by the bytes of the tokens; should these not end where it ends, each is encoded by itself.
+        """
+        if not whole and self.spaced:
+            joint = ends[:-1]
+            parts = np.concatenate([[0], joint[~_spaced(raw, joint)], ends[-1:]]).tolist()
+            try:
+                ids, _ = self.encode_each([raw[a:b].decode() for a, b in zip(parts, parts[1:], strict=False)])
+            except UnicodeDecodeError:
+                ids = np.zeros(0, "<u4")
+            until = np.cumsum(self.width[ids])
+            at = np.searchsorted(until, ends)
+            if len(until) and until[-1] == ends[-1] and np.array_equal(until[at], ends):
+                return ids, np.diff(at, prepend=-1)
+        return self.encode_each(_strings(raw, ends))
+
     def encode_flat(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that end at ``ends`` in ``data``, one text after the other, and where each text's ids end.
 
@@ -150,11 +200,13 @@ class WordEncoder:
         """
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(ends), np.int64)
-        if self.memory.n > CACHE_ENTRIES or self.memory.at[self.memory.n] > 32 * CACHE_ENTRIES:
-            self.memory = _Memory()
+        if self.memory.full():
+            self.memory = self.memory.lean()
+        raw = data.tobytes()
         cut = np.empty(len(data) + 1, bool)
-        cut[1:-1] = certain_cuts()[data[:-1].astype(np.uint16) << 8 | data[1:]]
-        odd = [i for i in np.unique(np.searchsorted(ends, np.flatnonzero(self.lead[data]), side="right")).tolist() if self.odd.search(data[ends[i - 1] if i else 0 : ends[i]])]
+        cut[1:-1] = certain_cuts(raw)
+        lead = np.flatnonzero(np.frombuffer(raw.translate(self.lead), bool))
+        odd = [i for i in np.unique(np.searchsorted(ends, lead, side="right")).tolist() if self.odd.search(data[ends[i - 1] if i else 0 : ends[i]])]
         for i in odd:
             cut[ends[i - 1] if i else 0 : ends[i]] = False
         cut[0] = cut[-1] = True
@@ -171,6 +223,7 @@ class WordEncoder:
         same = words.equal(start[known], n[known], ByteWords(self.memory.bytes, padded=True), self.memory.at[kept], self.memory.at[kept + 1] - self.memory.at[kept])
         whole[known[~same]] = True  # two fragments of one hash
         number[known[~same]] = -1
+        self.memory.again[kept[same]] = True
         new = np.flatnonzero((number < 0) & ~whole)
         if len(new):
             _, one, back = np.unique(h[new], return_index=True, return_inverse=True)
@@ -182,15 +235,15 @@ class WordEncoder:
             number[new[same]] = took[back[same]]
         rest = np.flatnonzero(number < 0)
         if len(rest):
-            number[rest] = self._take(data, start[rest], n[rest])
+            number[rest] = self._take(data, start[rest], n[rest], whole=True)
         first = self.memory.first[number]
         n_ids = self.memory.first[number + 1] - first
         until = np.concatenate([[0], np.cumsum(n_ids)])
         return self.memory.ids[runs(first, n_ids)], until[np.searchsorted(edges, ends)]
 
-    def _take(self, data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-        raw = [data[s:e].tobytes() for s, e in zip(start.tolist(), (start + n).tolist(), strict=True)]
-        return self.memory.add(raw, *self.encode_new([x.decode("utf-8", "replace") for x in raw]))
+    def _take(self, data: np.ndarray, start: np.ndarray, n: np.ndarray, whole: bool = False) -> np.ndarray:
+        raw = data[runs(start, n)]
+        return self.memory.add(raw, n, *self.encode_new(raw.tobytes(), np.cumsum(n), whole))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -244,7 +297,8 @@ class BoundaryEncoder(WordEncoder):
             return [p for s in self.cut_added.split(fragment) if s for p in ([s] if s in self.added else self.pattern.findall(s))]
         return self.pattern.findall(fragment)
 
-    def encode_new(self, fragments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_new(self, raw: bytes, ends: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        fragments = _strings(raw, ends)
         split = [self.split(w) for w in fragments]
         pretokens = {p: None for p in chain.from_iterable(split) if p not in self.added}
         cuts = dict(zip(pretokens, self.cut(list(pretokens)) if pretokens else [], strict=True))
