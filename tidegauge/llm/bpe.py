@@ -118,19 +118,22 @@ class _Memory:
     def full(self) -> bool:
         return bool(self.n > CACHE_ENTRIES or self.at[self.n] > 32 * CACHE_ENTRIES)
 
-    def lean(self) -> _Memory:
-        """A new one with the fragments that were met again, or with none if these would fill over half of it."""
-        out = _Memory()
+    def forget(self) -> None:
+        """Keeps the fragments that were met again, or none if these would fill over half of the room; in place, as two tables would take twice the memory."""
         slot = np.flatnonzero(self.number >= 0)
         slot = slot[self.again[self.number[slot]]]
         slot = slot[np.argsort(self.number[slot])]
         keep = np.zeros(self.n, bool)
         keep[self.number[slot]] = True
         counts, sizes = np.diff(self.first[: self.n + 1]), np.diff(self.at[: self.n + 1])
-        if 2 * len(slot) <= CACHE_ENTRIES and sizes[keep].sum() <= 16 * CACHE_ENTRIES:
-            ids, raw = self.ids[: self.first[self.n]][np.repeat(keep, counts)], self.bytes[: self.at[self.n]][np.repeat(keep, sizes)]
-            out.name(self.keys[slot], out.add(raw, sizes[keep], ids, counts[keep]))
-        return out
+        if 2 * len(slot) > CACHE_ENTRIES or sizes[keep].sum() > 16 * CACHE_ENTRIES:
+            slot, keep = slot[:0], np.zeros(self.n, bool)
+        keys = self.keys[slot]
+        ids, raw = self.ids[: self.first[self.n]][np.repeat(keep, counts)], self.bytes[: self.at[self.n]][np.repeat(keep, sizes)]
+        self.number.fill(-1)
+        self.again.fill(False)
+        self.n = 0
+        self.name(keys, self.add(raw, sizes[keep], ids, counts[keep]))
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -201,7 +204,7 @@ class WordEncoder:
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(ends), np.int64)
         if self.memory.full():
-            self.memory = self.memory.lean()
+            self.memory.forget()
         raw = data.tobytes()
         cut = np.empty(len(data) + 1, bool)
         cut[1:-1] = certain_cuts(raw)
